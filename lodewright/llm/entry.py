@@ -5,14 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash_near_dedup, source_mixing, suffix_dedup, topk_search
+from . import decontaminate, line_dedup, quality, secret_scan, simhash_near_dedup, source_mixing, suffix_dedup, topk_search
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents")).select("doc_id", "votes", "weak", "score", "keep")
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents")).drop("secrets")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "leaked_items", "leak_share", "contaminated")
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.taken_words(table(spark, sf_dir, "documents")).drop("source")
 
@@ -21,6 +35,11 @@ def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.search(table(spark, sf_dir, "embeddings"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_removed", F.md5("text").alias("text_md5"), F.octet_length("text").alias("n_bytes"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_report(table(spark, sf_dir, "documents"))
 
@@ -31,7 +50,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op6_source_mixing, op7_exact_topk, op9_suffix_dedup, op10_simhash_near_dedup)
+    own = (op1_quality, op4_secret_scan, op5_decontamination, op6_source_mixing, op7_exact_topk, op8_line_dedup, op9_suffix_dedup, op10_simhash_near_dedup)
     return {f.__name__: f for f in own}
 
 

@@ -53,7 +53,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     roots = connected(links(nodes, radius, ring))
     own = saved(nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "root", "least"), "components")
     joined = own.join(own.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component")
-    known = nodes.join(joined, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
+    known = saved(nodes.join(joined, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")), "known")  # so that the join with a common fingerprint can be split
     return rows.join(known, "fp").select("doc_id", "th", "fp", "component_id")
 
 

@@ -17,7 +17,7 @@ from .suffix_array import adjacent_common, suffix_array
 LENGTH = 200
 #: Bytes of the string that marks a place; each string of LENGTH bytes holds LENGTH - GRAM + 1 of them.
 GRAM = 64
-#: Distinct surroundings of one mark that are sorted together; marks with more are compared string by string.
+#: Distinct surroundings of one mark that are sorted together; those of marks with more are sorted in chunks.
 MOST_UNITS = 2000
 #: Bytes that a task sorts at once: whole groups up to this size, or one group.
 SORT_BYTES = 400_000
@@ -112,8 +112,12 @@ def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     return by_batch(cut, work, "_d long, _n boolean, _th long, at long, mark long, unit long")
 
 
-def _sorted_groups(length: int, gram: int):
-    """Of units that share a mark: the runs of bytes in each that are covered by strings another place has too."""
+def _sorted_groups(length: int):
+    """Of units that share a mark: the runs of bytes in each that are covered by strings another place has too.
+
+    A group that is a chunk of a mark's units also gives hashes: of every string that nothing else in the chunk has
+    (n = 1), and one for each class of strings that are repeated already (n = 2), for the other chunks to meet.
+    """
 
     def work(groups: list[tuple[np.ndarray, list]]) -> Iterator[tuple]:
         text = b"".join(r["bytes"] for _, rows in groups for r in rows)
@@ -142,6 +146,11 @@ def _sorted_groups(length: int, gram: int):
         at = np.flatnonzero(new)
         twice = (np.minimum.reduceat(p, at) != np.maximum.reduceat(p, at)) | np.logical_or.reduceat(often[u], at)
         hit = np.repeat(twice, np.diff(np.concatenate([at, [len(k)]])))
+        chunked = np.array([own[0]["chunks"] > 1 for _, own in groups])[g]
+        for i in np.flatnonzero(chunked & (new | ~hit)):
+            r = rows[u[i]]
+            x = xxhash.xxh3_128_intdigest(text[o[i] : o[i] + length])
+            yield r["_d"], r["_n"], r["_th"], int(r["begin"] + o[i] - first[u[i]]), None, *_two_longs(x), 2 if hit[i] else 1
         o = np.sort(o[hit])
         if not len(o):
             return
@@ -153,16 +162,22 @@ def _sorted_groups(length: int, gram: int):
             r = rows[u[a]]
             if r["n"] == 1:
                 low = int(r["begin"] + o[a] - first[u[a]])
-                yield r["_d"], r["_n"], r["_th"], low, int(r["begin"] + o[b] - first[u[b]]) + length
+                yield r["_d"], r["_n"], r["_th"], low, int(r["begin"] + o[b] - first[u[b]]) + length, None, None, 0
 
     return work
 
 
-def _sort_units(units: DataFrame, length: int, gram: int) -> DataFrame:
-    schema = "_d long, _n boolean, _th long, low long, high long"
+def _two_longs(x: int) -> tuple[int, int]:
+    one, two = x >> 64, x & (2**64 - 1)
+    return one - (one >> 63 << 64), two - (two >> 63 << 64)
+
+
+def _sort_units(units: DataFrame, length: int) -> DataFrame:
+    """Spans (n = 0: low, high) and hashed strings (n > 0: low, one, two) of each group of units (mark, chunk)."""
+    schema = "_d long, _n boolean, _th long, low long, high long, one long, two long, n int"
     small_batches(units.sparkSession)
     kinds = arrow_schema(units.sparkSession, schema)
-    work = _sorted_groups(length, gram)
+    work = _sorted_groups(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full: list = []
@@ -175,13 +190,13 @@ def _sort_units(units: DataFrame, length: int, gram: int) -> DataFrame:
 
         for batch in batches:
             for row in batch.to_pylist():
-                if row["mark"] != mark:
+                if (row["mark"], row["chunk"]) != mark:
                     if own:
                         full.append((mark, own))
                         if size > SORT_BYTES:
                             yield from flush()
                             full, size = [], 0
-                    mark, own = row["mark"], []
+                    mark, own = (row["mark"], row["chunk"]), []
                 own.append(row)
                 size += len(row["bytes"])
         if own:
@@ -189,7 +204,7 @@ def _sort_units(units: DataFrame, length: int, gram: int) -> DataFrame:
         if full:
             yield from flush()
 
-    return units.repartition("mark").sortWithinPartitions("mark").mapInArrow(run, schema)
+    return units.repartition("mark", "chunk").sortWithinPartitions("mark", "chunk").mapInArrow(run, schema)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_units: int = MOST_UNITS) -> DataFrame:
@@ -197,28 +212,34 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
 
     A mark that occurs once can't be in a repeated string. Where all of a mark's units are equal, they are repeated
     whole, and so is any unit that occurs twice: large groups of copies end here, as counts. What is left are marks with
-    different surroundings: one copy of each unit meets the others of its mark in a suffix array. A mark with more than
-    ``most_units`` of them isn't gathered: each of its strings is hashed and counted (128 bits) instead.
+    different surroundings: one copy of each unit meets the others of its mark in a suffix array. If there are more than
+    ``most_units``, they are sorted in chunks, and strings that are single in their chunk meet those of the other chunks
+    by a hash of 128 bits, so that no mark is gathered in one task and no link between chunks is lost.
     """
     spark = docs.sparkSession
     every = saved(marks(docs, length, gram), "marks")
     often = every.groupBy("mark").agg(F.count("*").alias("n"), (F.min("unit") != F.max("unit")).alias("differ")).where("n > 1").select("mark", "differ")
+    often = saved(often, "often")  # so that a join with a very common mark can be split
     shared = saved(every.join(often, "mark"), "shared")
-    release(every)
+    release(every, often)
     del every, often
     drop_shuffles(spark)
     place = F.struct(*KEY, "at")
     units = saved(shared.groupBy("mark", "unit", "differ").agg(F.count("*").alias("n"), F.min(place).alias("p")), "units")
     whole = shared.join(units.where("n > 1").select("mark", "unit"), ["mark", "unit"]).select(*KEY, (F.col("at") - (length - gram)).alias("low"), (F.col("at") + length).alias("high"))
     groups = units.where("differ").groupBy("mark").agg(F.count("*").alias("units"), F.min("n").alias("least")).where("least = 1").select("mark", "units")
-    needed = units.where("differ").join(groups, "mark").select("p.*", "mark", "n", (F.col("units") > most_units).alias("hot"))
-    wanted = needed.groupBy(*KEY).agg(F.collect_list(F.struct("at", "mark", "n", "hot")).alias("units"))
+    needed = units.where("differ").join(groups, "mark").select("p.*", "mark", "n", F.ceil(F.col("units") / F.lit(most_units)).cast("int").alias("chunks"))
+    wanted = needed.groupBy(*KEY).agg(F.collect_list(F.struct("at", "mark", "n", "chunks")).alias("units"))
     texts = keyed(docs).select(*KEY, F.col("text").cast("binary").alias("text")).join(wanted, KEY)
-    cut = saved(texts.select(*KEY, F.explode(F.transform("units", lambda u: _cut(u, length, gram))).alias("u")).select(*KEY, "u.*"), "cut")
-    sorted_spans = _sort_units(cut.where("not hot"), length, gram)
-    counted = _count_strings(cut.where("hot"), length)
-    runs = saved(whole.unionByName(sorted_spans).unionByName(counted), "runs")
-    release(shared, cut, units)
+    cut = texts.select(*KEY, F.explode(F.transform("units", lambda u: _cut(u, length, gram))).alias("u")).select(*KEY, "u.*")
+    cut = cut.withColumn("chunk", F.pmod(F.xxhash64(*KEY, "begin"), F.col("chunks")).cast("int"))
+    found = saved(_sort_units(cut, length), "found")
+    strings = found.where("n > 0")
+    start = F.struct(*KEY, "low")
+    twice = saved(strings.groupBy("one", "two").agg(F.max("n").alias("most"), F.min(start).alias("a"), F.max(start).alias("b")).where("most > 1 or a != b").select("one", "two"), "twice")
+    across = strings.where("n = 1").join(twice, ["one", "two"], "left_semi").select(*KEY, "low", (F.col("low") + length).alias("high"))
+    runs = saved(whole.unionByName(found.where("n = 0").select(*KEY, "low", "high")).unionByName(across), "runs")
+    release(shared, units, found, twice)
     drop_shuffles(spark)
     return runs.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("low", "high"))).alias("spans"))
 
@@ -226,29 +247,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
 def _cut(u: F.Column, length: int, gram: int) -> F.Column:
     begin = F.greatest(F.lit(0).cast("long"), u["at"] - (length - gram))
     size = u["at"] + length - begin
-    return F.struct(u["mark"].alias("mark"), u["n"].alias("n"), u["hot"].alias("hot"), begin.alias("begin"), F.substring(F.col("text"), (begin + 1).cast("int"), size.cast("int")).alias("bytes"))
-
-
-def _count_strings(units: DataFrame, length: int) -> DataFrame:
-    """The spans of units whose strings another place has too, by counting the hash of each string."""
-
-    def work(batch: pa.RecordBatch) -> dict:
-        take, at, one, two = [], [], [], []
-        for i, text in enumerate(batch.column("bytes").to_pylist()):
-            for j in range(len(text) - length + 1):
-                x = xxhash.xxh3_128_intdigest(text[j : j + length])
-                take.append(i)
-                at.append(j)
-                one.append(x >> 64)
-                two.append(x & (2**64 - 1))
-        take = np.array(take, np.int64)
-        begin = batch.column("begin").to_numpy(zero_copy_only=False)
-        return {k: batch.column(k).take(pa.array(take)) for k in [*KEY, "n"]} | {"start": begin[take] + np.array(at, np.int64), "one": np.array(one, np.uint64).view(np.int64), "two": np.array(two, np.uint64).view(np.int64)}
-
-    rows = saved(by_batch(units.select(*KEY, "n", "begin", "bytes"), work, "_d long, _n boolean, _th long, n long, start long, one long, two long"), "strings")
-    place = F.struct(*KEY, "start")
-    twice = rows.groupBy("one", "two").agg(F.max("n").alias("most"), F.min(place).alias("a"), F.max(place).alias("b")).where("most > 1 or a != b").select("one", "two")
-    return rows.where("n = 1").join(twice, ["one", "two"]).select(*KEY, F.col("start").alias("low"), (F.col("start") + length).alias("high"))
+    return F.struct(u["mark"].alias("mark"), u["n"].alias("n"), u["chunks"].alias("chunks"), begin.alias("begin"), F.substring(F.col("text"), (begin + 1).cast("int"), size.cast("int")).alias("bytes"))
 
 
 def _kept(batch: pa.RecordBatch) -> dict:
