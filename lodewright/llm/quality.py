@@ -220,9 +220,10 @@ def scored(docs: DataFrame, model: Scorer) -> DataFrame:
             own = votes(text)
             for k, v in zip(out, (own, held.value.labelling.posterior(own), held.value.score(text))):
                 out[k].append(v)
-        return {k: batch.column(k) for k in docs.columns if k not in ("votes", "weak", "score", "keep")} | out | {"keep": [x >= 0.5 for x in out["score"]]}
+        return {k: batch.column(k) for k in names} | out | {"keep": [x >= 0.5 for x in out["score"]]}
 
     own = [f for f in docs.schema if f.name not in ("votes", "weak", "score", "keep")]
+    names = [f.name for f in own]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own), "votes string, weak double, score double, keep boolean"])
     return by_batch(docs.withColumn("_t", F.col("text").cast("binary")), work, schema)
 
