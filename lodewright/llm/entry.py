@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extraction, line_dedup, quality, secret_scan, simhash_near_dedup, source_mixing, suffix_dedup, topk_search
+from . import decontaminate, html_extraction, license_scan, line_dedup, quality, secret_scan, simhash_near_dedup, source_mixing, suffix_dedup, topk_search
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.visible_text(table(spark, sf_dir, "pages")).select("page_id", "title", "text", "n_lines")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents")).drop("secrets")
 
@@ -54,7 +58,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_quality, op2_html_extraction, op4_secret_scan, op5_decontamination, op6_source_mixing, op7_exact_topk, op8_line_dedup, op9_suffix_dedup, op10_simhash_near_dedup)
+    own = (op1_quality, op2_html_extraction, op3_license_scan, op4_secret_scan, op5_decontamination, op6_source_mixing, op7_exact_topk, op8_line_dedup, op9_suffix_dedup, op10_simhash_near_dedup)
     return {f.__name__: f for f in own}
 
 
