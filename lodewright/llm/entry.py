@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +60,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_quality, op2_html_extraction, op3_license_scan, op4_secret_scan, op5_decontamination, op6_source_mixing, op7_exact_topk, op8_line_dedup, op9_suffix_dedup, op10_simhash_near_dedup)
-    return {f.__name__: f for f in own}
+    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 TOPK_SQL = """
@@ -77,4 +78,4 @@ select query_id, rank, vec_id, score from ranked where rank <= 20
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_topk": TOPK_SQL}
+    return {"op7_exact_topk": TOPK_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

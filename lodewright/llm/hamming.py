@@ -41,6 +41,11 @@ def hole(x: np.ndarray, i: int, radius: int) -> np.ndarray:
     return (segment_bits(x, i) == 0) & (np.bitwise_count(x) <= radius)
 
 
+def within(radius: int) -> Callable:
+    """The full Hamming check alone, for buckets that aren't segments."""
+    return lambda x, i, _: np.bitwise_count(x) <= radius
+
+
 def _forest(values: np.ndarray, halves: np.ndarray, whole: bool, i: int, radius: int, test: Callable) -> tuple[list, list]:
     """A spanning forest of the links in one tile: a search by breadth that meets each fingerprint once."""
     left, a, b = np.arange(len(values)), [], []
@@ -72,7 +77,8 @@ def _small(keys: np.ndarray, seg: np.ndarray, values: np.ndarray, radius: int, t
             return (np.concatenate(a), np.concatenate(b)) if a else (values[:0], values[:0])
         x = values[same] ^ values[same + d]
         for i in range(SEGMENTS):
-            ok = same[(seg[same] == i) & test(x, i, radius)]
+            mine = seg[same] == i
+            ok = same[mine][test(x[mine], i, radius)]
             a.append(values[ok])
             b.append(values[ok + d])
         d += 1
@@ -88,9 +94,14 @@ def links(fingerprints: DataFrame, radius: int, test: Callable = ring, tile: int
     """
     if not 0 <= radius < SEGMENTS:
         raise ValueError("radius must be below the number of segments")
-    small_batches(fingerprints.sparkSession)
     cut = F.array(*[F.struct(F.lit(i).alias("seg"), F.shiftrightunsigned("fp", WIDTH * i).bitwiseAND(F.lit(0xFFFF)).alias("value")) for i in range(SEGMENTS)])
     rows = fingerprints.select("fp", F.explode(cut).alias("s")).select("fp", (F.col("s.seg") * 65536 + F.col("s.value")).cast("long").alias("bucket"))
+    return tiled_links(rows, test, radius, tile)
+
+
+def tiled_links(rows: DataFrame, test: Callable, radius: int = 0, tile: int = TILE) -> DataFrame:
+    """links() of fingerprints that share a bucket: columns fp and bucket, no pair twice."""
+    small_batches(rows.sparkSession)
     large = saved(rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > tile), "buckets")
     chunks = F.ceil(F.coalesce("n", F.lit(1)) / F.lit(tile)).cast("int")
     mine = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("chunks")).cast("int")
@@ -109,7 +120,7 @@ def links(fingerprints: DataFrame, radius: int, test: Callable = ring, tile: int
             change = np.flatnonzero((np.diff(rows[:, 1]) != 0) | (np.diff(rows[:, 3]) != 0) | (np.diff(rows[:, 4]) != 0)) + 1
             starts = np.concatenate([[0], change])
             sizes = np.diff(np.concatenate([starts, [len(rows)]]))
-            values, seg = np.ascontiguousarray(rows[:, 0]).view(np.uint64), rows[:, 1] // 65536
+            values, seg = np.ascontiguousarray(rows[:, 0]).view(np.uint64), (rows[:, 1] >> WIDTH) & (SEGMENTS - 1)
             group = np.repeat(np.arange(len(starts)), sizes)
             tiny = np.repeat((sizes <= 32) & (rows[starts, 3] == rows[starts, 4]), sizes)
             a, b = _small(group[tiny], seg[tiny], values[tiny], radius, test)
