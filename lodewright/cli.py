@@ -23,7 +23,9 @@ def parser() -> argparse.ArgumentParser:
     commands = out.add_subparsers(dest="command", required=True)
 
     def command(name: str, text: str, *, tokens: bool = True, output: bool = True) -> argparse.ArgumentParser:
-        p = commands.add_parser(name, help=text, description=text, conflict_handler="resolve")
+        p = commands.add_parser(name, help=text, description=text)
+        if name == "analyze":
+            p.add_argument("analysis", choices=ANALYSES)
         p.add_argument("paths", nargs="+", help="files, or directories with *.json*.gz files below them")
         p.add_argument("-l", "--limit", type=int, help="lines of each file at most")
         p.add_argument("--file-limit", type=int, help="files at most")
@@ -58,7 +60,6 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--locations-limit", type=int)
     command("stats", "summary of a corpus")
     p = command("analyze", "counts by a key of each document", tokens=False)
-    p.add_argument("analysis", choices=ANALYSES)
     p.add_argument("--lexicon", help="CSV with word and categorization, for profanity")
     return out
 

@@ -66,5 +66,5 @@ def approximate_unique(df: DataFrame, n: int = 1, error: float = 0.01, text: str
 
 def approximate_topk(df: DataFrame, n: int = 3, k: int = 20, tracked: int = 100_000, text: str = "text", tokens: Tokens = unicode_tokens) -> DataFrame:
     """string, count, rank by a frequent-items sketch of ``tracked`` counters a task, in bounded memory without a shuffle by key."""
-    top = exploded_ngrams(df, tokens(text), n, separator=SEPARATOR).agg(F.approx_top_k("ngram", F.lit(k), F.lit(tracked)).alias("t"))
+    top = exploded_ngrams(df, tokens(text), n, separator=SEPARATOR).agg(F.expr(f"approx_top_k(ngram, {int(k)}, {int(tracked)})").alias("t"))
     return top.select(F.posexplode("t").alias("at", "x")).select(F.replace("x.item", F.lit(SEPARATOR), F.lit(" ")).alias("string"), F.col("x.count").alias("count"), (F.col("at") + 1).alias("rank"))
