@@ -13,6 +13,8 @@ WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
 #: Blocks of all sources together, the bound of what the driver plans; a block's documents grow with the data.
 BLOCKS = 20_000
 SHARDS, SEED = 64, 20240901
+#: Words of a shard: larger mixes have more than SHARDS shards, so that one task can sort each.
+SHARD_WORDS = 100_000_000
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -63,8 +65,8 @@ def split_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def allot(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, blocks: int = BLOCKS) -> tuple[DataFrame, DataFrame]:
-    """What the mix takes of each document, and where each draw of a block goes.
+def allot(docs: DataFrame, shards: int | None = None, seed: int = SEED, blocks: int = BLOCKS) -> tuple[DataFrame, DataFrame, int]:
+    """What the mix takes of each document, where each draw of a block goes, and the number of shards.
 
     The first table has a row for each row of docs: doc_id, source, th, size, source_size, target, sid, block, key and
     draws, how often the document is taken (0 to MOST). The second has sid, block, draw and shard.
@@ -88,6 +90,7 @@ def allot(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, blocks: int =
     held: dict[int, list[tuple[int, int]]] = {}
     for r in tagged.groupBy("sid", "block").agg(F.sum("size").alias("words")).collect():
         held.setdefault(r["sid"], []).append((r["block"], r["words"]))
+    shards = shards or max(SHARDS, -(-int(sum(wanted)) // SHARD_WORDS))
     chosen, dealt = _deal([(r["words"], t) for r, t in zip(by, wanted)], held, shards, seed)
     chosen = spark.createDataFrame(chosen, "sid int, block int, whole int, need double")
     out = tagged.join(chosen, ["sid", "block"])
@@ -96,7 +99,7 @@ def allot(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, blocks: int =
     ended = out.where("need > 0").withColumn("before", F.coalesce(before, F.lit(0)))
     ended = ended.withColumn("draws", F.col("whole") + (F.col("before") + F.col("size") / 2 < F.col("need")).cast("int")).drop("before")
     out = out.where("need = 0").withColumn("draws", F.col("whole")).unionByName(ended).drop("whole", "need")
-    return out, spark.createDataFrame(dealt, "sid int, block int, draw int, shard int")
+    return out, spark.createDataFrame(dealt, "sid int, block int, draw int, shard int"), shards
 
 
 def _deal(sources: list, held: dict, shards: int, seed: int) -> tuple[list, list]:
@@ -124,7 +127,7 @@ def _deal(sources: list, held: dict, shards: int, seed: int) -> tuple[list, list
 
 def taken_words(docs: DataFrame, **how) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of docs: taken counts a document's words once a draw."""
-    rows, _ = allot(docs, **how)
+    rows, _, _ = allot(docs, **how)
     return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("draws")).cast("long").alias("taken"))
 
 
@@ -133,7 +136,7 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 
     A document comes once a draw. A shard is in one partition, shuffled: ordered by _place, a seeded hash.
     """
-    rows, dealt = allot(docs, **how)
+    rows, dealt, shards = allot(docs, **how)
     draws = rows.where("draws > 0").select("doc_id", "th", "source", "sid", "block", "key", F.explode(F.sequence(F.lit(1), F.col("draws"))).alias("draw"))
     # repeated rows are numbered, so that each meets its own text
     seed = how.get("seed", SEED)
@@ -142,5 +145,4 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     slim = draws.select(F.coalesce("doc_id", F.lit(0)).alias("_d"), F.col("doc_id").isNull().alias("_n"), F.col("th").alias("_t"), F.col("source").alias("_s"), F.col("draw").alias("_draw"), F.col("shard").alias("_shard"), place.alias("_place"))
     own = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_n": F.col("doc_id").isNull(), "_t": F.xxhash64("text"), "_s": F.col("source").cast("string")})
     joined = own.join(slim, (own["_d"] == slim["_d"]) & (own["_n"] == slim["_n"]) & (own["_t"] == slim["_t"]) & own["_s"].eqNullSafe(slim["_s"]))
-    shards = how.get("shards", SHARDS)
     return joined.select(*[own[c] for c in docs.columns], "_draw", "_shard", "_place").repartition(shards, "_shard").sortWithinPartitions("_shard", "_place")
