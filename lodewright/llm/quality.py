@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -27,28 +28,60 @@ def _vote(value: float, bad: float, good: float) -> str:
     return "-" if value >= bad else "+" if value <= good else "0"
 
 
+class _Kept(dict):
+    """What a worker has computed of words and shapes; it starts anew when it holds a million."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key):
+        if len(self) >= 1_000_000:
+            self.clear()
+        value = self[key] = self.make(key)
+        return value
+
+
+#: Bits of one count in the sum of a text's facts.
+_FIELD = 40
+
+
+def _word_facts(w: str) -> int:
+    """Letters, symbols, capitals, and 1 for a word with symbols, in capitals, at the end of a sentence, in one number."""
+    parts = (
+        sum(map(len, _LETTERS.findall(w))),
+        len(_SYMBOL.findall(w)),
+        sum(map(str.isupper, w)),
+        bool(_SYMBOL.search(w)) and not w.isalnum(),
+        len(w) > 1 and w.upper() == w and w.lower() != w,
+        w[-1] in ".!?。…",
+    )
+    return sum(int(x) << _FIELD * i for i, x in enumerate(parts))
+
+
+_facts = _Kept(_word_facts)
+
+
 def votes(text: str) -> str:
     """One character for each labeller: + fine, - poor, 0 no opinion. A text without words is poor to two of them."""
     words = text.split()
-    n, letters = len(words), max(1, sum(map(len, _LETTERS.findall(text))))
+    n = len(words)
     if not n:
         return "000000-0-"
     counts = Counter(words)
-    symbols = len(_SYMBOL.findall(text))
-    symbol_words = sum(k for w, k in counts.items() if not w.isalnum() and _SYMBOL.search(w))
+    total = sum(map(mul, map(_facts.__getitem__, counts), counts.values()))
+    letters, symbols, capitals, symbol_words, shouted, ends = (total >> _FIELD * i & (1 << _FIELD) - 1 for i in range(6))
+    letters = max(1, letters)
     bars = counts["|"] + counts["·"] + counts["•"] + counts["»"] + counts[">"]
-    shouted = sum(k for w, k in counts.items() if len(w) > 1 and w.upper() == w and w.lower() != w)
     cries = text.count("!!") + text.count("??")
-    repeats = sum(a == b for a, b in zip(words, words[1:]))
+    repeats = sum(map(str.__eq__, words, words[1:]))
     short = n < 20
-    ends = sum(k for w, k in counts.items() if w[-1] in ".!?。…")
     mean = letters / n
     return "".join(
         (
             _vote(symbols / letters, 0.08, 0.02),
             _vote(symbol_words / n, 0.2, 0.05),
             _vote(bars / n, 0.15, 0.03),
-            _vote(sum(c.isupper() for c in text) / letters, 0.4, 0.2),
+            _vote(capitals / letters, 0.4, 0.2),
             "0" if short else _vote(shouted / n, 0.35, 0.1),
             _vote(cries / n, 0.15, 0.03),
             "0" if n < 3 else _vote(repeats / (n - 1), 0.3, 0.08),
@@ -112,32 +145,31 @@ def shape(word: str) -> str:
     return _RUNS.sub(r"\1", plain)[:12]
 
 
+_shapes = _Kept(shape)
+_word_hash = _Kept(lambda w: xxhash.xxh3_64_intdigest("w" + w.lower()))
+_shape_hash = _Kept(lambda s: xxhash.xxh3_64_intdigest("s" + s))
+_pair_hash = _Kept(lambda p: xxhash.xxh3_64_intdigest(f"p{p[0]} {p[1]}"))
+_REPEAT = xxhash.xxh3_64_intdigest("r")
+
+
 def features(text: str, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features of a whole text: words, their shapes, pairs of shapes, equal neighbours; counts damped, length 1."""
+    """Hashed features of a whole text: words, their shapes, pairs of shapes, equal neighbours; counts damped, length 1.
+
+    The top bit of a feature's hash is its sign. A bucket may come more than once.
+    """
     words = text.split()
-    counts: Counter = Counter()
-    shapes: dict[str, str] = {}
-    own = []
-    for w in words:
-        s = shapes.get(w)
-        if s is None:
-            s = shapes[w] = shape(w)
-        own.append(s)
     n = max(1, len(words))
-    for s, k in Counter(own).items():
-        counts["s" + s] += 6 * k / n
-    for (a, b), k in Counter(zip(own, own[1:])).items():
-        counts["p" + a + " " + b] += 4 * k / n
-    counts["r"] = 8 * sum(a == b for a, b in zip(words, words[1:])) / n
-    distinct = Counter(words)
-    for w, k in distinct.items():
-        counts["w" + w.lower()] += (k / n) ** 0.5 / len(distinct) ** 0.5
-    at: dict[int, float] = {}
-    for name, value in counts.items():
-        h = xxhash.xxh3_64_intdigest(name)
-        b = h % buckets
-        at[b] = at.get(b, 0.0) + (value if h >> 63 else -value)
-    return np.fromiter(at, np.int32, len(at)), np.fromiter(at.values(), np.float32, len(at))
+    own = [_shapes[w] for w in words]
+    one, two, three = Counter(own), Counter(zip(own, own[1:])), Counter(words)
+    hashes = [_REPEAT, *map(_shape_hash.__getitem__, one), *map(_pair_hash.__getitem__, two), *map(_word_hash.__getitem__, three)]
+    repeats = sum(map(str.__eq__, words, words[1:]))
+    count = np.array([repeats, *one.values(), *two.values(), *three.values()], np.float64)
+    count[0] *= 8 / n
+    count[1 : 1 + len(one)] *= 6 / n
+    count[1 + len(one) : 1 + len(one) + len(two)] *= 4 / n
+    count[1 + len(one) + len(two) :] = np.sqrt(count[1 + len(one) + len(two) :] / (n * max(1, len(three))))
+    h = np.array(hashes, np.uint64)
+    return (h % np.uint64(buckets)).astype(np.int32), np.where(h >> np.uint64(63), count, -count).astype(np.float32)
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, float]], buckets: int = BUCKETS, steps: int = STEPS) -> np.ndarray:
