@@ -14,6 +14,8 @@ from .common import saved, small_batches
 SEGMENTS, WIDTH = 4, 16
 #: Fingerprints in one tile of a bucket; a larger bucket is cut into pairs of chunks, one task's work each.
 TILE = 8192
+#: Buckets up to this size are compared many at once, pair by pair; larger ones by a search that skips what it has met.
+SMALL = 96
 _LOW = np.uint64(0xFFFF)
 
 
@@ -36,14 +38,36 @@ def ring(x: np.ndarray, i: int, radius: int) -> np.ndarray:
     return ok
 
 
-def hole(x: np.ndarray, i: int, radius: int) -> np.ndarray:
-    """The plain pigeonhole test: equal in segment i, and the full Hamming check."""
-    return (segment_bits(x, i) == 0) & (np.bitwise_count(x) <= radius)
+def within(x: np.ndarray, i: int, radius: int) -> np.ndarray:
+    """The full Hamming check alone: the plain pigeonhole test, as buckets agree in a segment already."""
+    return np.bitwise_count(x) <= radius
 
 
-def within(radius: int) -> Callable:
-    """The full Hamming check alone, for buckets that aren't segments."""
-    return lambda x, i, _: np.bitwise_count(x) <= radius
+def close_pairs(group: np.ndarray, values: np.ndarray, seg: np.ndarray, radius: int, test: Callable = within) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs that pass in many small groups at once: row j against row j + d of the same group."""
+    d, left = 1, np.arange(len(group))
+    while True:
+        left = left[left + d < len(group)]
+        left = left[group[left + d] == group[left]]
+        if not len(left):
+            return
+        x = values[left] ^ values[left + d]
+        if test is within:
+            near = left[np.bitwise_count(x) <= radius]
+        else:
+            near = np.concatenate([left[seg[left] == i][test(x[seg[left] == i], i, radius)] for i in range(SEGMENTS)])
+        if len(near):
+            yield near, near + d
+        d += 1
+
+
+def find(up: dict, x):
+    """The root of x in a forest of nodes, paths halved on the way; a node that isn't in it is its own root."""
+    while (y := up.get(x, x)) != x:
+        z = up.get(y, y)
+        up[x] = z
+        x = z
+    return x
 
 
 def _forest(values: np.ndarray, halves: np.ndarray, whole: bool, i: int, radius: int, test: Callable) -> tuple[list, list]:
@@ -68,20 +92,18 @@ def _forest(values: np.ndarray, halves: np.ndarray, whole: bool, i: int, radius:
     return a, b
 
 
-def _small(keys: np.ndarray, seg: np.ndarray, values: np.ndarray, radius: int, test: Callable) -> tuple[np.ndarray, np.ndarray]:
-    """All links in many small buckets at once: row j against row j + d of the same bucket, for each distance d."""
-    a, b, d = [], [], 1
-    while True:
-        same = np.flatnonzero(keys[d:] == keys[:-d]) if d < len(keys) else ()
-        if not len(same):
-            return (np.concatenate(a), np.concatenate(b)) if a else (values[:0], values[:0])
-        x = values[same] ^ values[same + d]
-        for i in range(SEGMENTS):
-            mine = seg[same] == i
-            ok = same[mine][test(x[mine], i, radius)]
-            a.append(values[ok])
-            b.append(values[ok + d])
-        d += 1
+def _small(keys: np.ndarray, seg: np.ndarray, values: np.ndarray, radius: int, test: Callable) -> tuple[list, list]:
+    """Links in many small buckets at once, without those between values that are joined already."""
+    up: dict[int, int] = {}
+    a, b = [], []
+    for i, j in close_pairs(keys, values, seg, radius, test):
+        for x, y in zip(values[i].tolist(), values[j].tolist()):
+            p, q = find(up, x), find(up, y)
+            if p != q:
+                up[max(p, q)] = min(p, q)
+                a.append(x)
+                b.append(y)
+    return a, b
 
 
 def links(fingerprints: DataFrame, radius: int, test: Callable = ring, tile: int = TILE) -> DataFrame:
@@ -99,7 +121,7 @@ def links(fingerprints: DataFrame, radius: int, test: Callable = ring, tile: int
     return tiled_links(rows, test, radius, tile)
 
 
-def tiled_links(rows: DataFrame, test: Callable, radius: int = 0, tile: int = TILE) -> DataFrame:
+def tiled_links(rows: DataFrame, test: Callable, radius: int, tile: int = TILE) -> DataFrame:
     """links() of fingerprints that share a bucket: columns fp and bucket, no pair twice."""
     small_batches(rows.sparkSession)
     large = saved(rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > tile), "buckets")
@@ -122,9 +144,8 @@ def tiled_links(rows: DataFrame, test: Callable, radius: int = 0, tile: int = TI
             sizes = np.diff(np.concatenate([starts, [len(rows)]]))
             values, seg = np.ascontiguousarray(rows[:, 0]).view(np.uint64), (rows[:, 1] >> WIDTH) & (SEGMENTS - 1)
             group = np.repeat(np.arange(len(starts)), sizes)
-            tiny = np.repeat((sizes <= 32) & (rows[starts, 3] == rows[starts, 4]), sizes)
+            tiny = np.repeat((sizes <= SMALL) & (rows[starts, 3] == rows[starts, 4]), sizes)
             a, b = _small(group[tiny], seg[tiny], values[tiny], radius, test)
-            a, b = a.tolist(), b.tolist()
             for g in np.flatnonzero((sizes > 1) & ~tiny[starts]):
                 at = slice(starts[g], starts[g] + sizes[g])
                 x, y = _forest(values[at], rows[at, 2], rows[starts[g], 3] == rows[starts[g], 4], int(seg[starts[g]]), radius, test)

@@ -70,7 +70,7 @@ def test_simhash_edges(spark):
 
 
 def test_links_equal_all_pairs(spark):
-    from lodewright.llm.hamming import hole, links, ring
+    from lodewright.llm.hamming import links, ring, within
 
     rng = random.Random(5)
     base = [rng.getrandbits(64) for _ in range(40)]
@@ -90,7 +90,7 @@ def test_links_equal_all_pairs(spark):
     want = {}
     for v in up:
         want.setdefault(find(v), set()).add(v)
-    for tile, test in ((8192, ring), (7, ring), (8192, hole)):
+    for tile, test in ((8192, ring), (7, ring), (8192, within)):
         got = {}
         for r in connected(links(df, 3, test, tile)).collect():
             got.setdefault(r.root, set()).add(int(np.array(r.node).astype(np.int64).view(np.uint64)))
