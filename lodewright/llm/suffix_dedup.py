@@ -21,6 +21,8 @@ GRAM = 64
 MOST_UNITS = 2000
 #: Bytes that a task sorts at once: whole groups up to this size, or one group.
 SORT_BYTES = 400_000
+#: Neighbouring strings that chunks of a mark's units compare by what they have in common first.
+BLOCK = 35
 _CHUNK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -112,11 +114,12 @@ def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     return by_batch(cut, work, "_d long, _n boolean, _th long, at long, mark long, unit long")
 
 
-def _sorted_groups(length: int):
+def _sorted_groups(length: int, gram: int):
     """Of units that share a mark: the runs of bytes in each that are covered by strings another place has too.
 
-    A group that is a chunk of a mark's units also gives hashes: of every string that nothing else in the chunk has
-    (n = 1), and one for each class of strings that are repeated already (n = 2), for the other chunks to meet.
+    A group that is a chunk of a mark's units also gives blocks for the other chunks to meet: strings that begin at up
+    to BLOCK neighbouring places before the mark, with the hash of the bytes common to all such strings. A block has
+    hashes of its strings that nothing else in the chunk has, and of one of each class that is repeated already.
     """
 
     def work(groups: list[tuple[np.ndarray, list]]) -> Iterator[tuple]:
@@ -147,10 +150,22 @@ def _sorted_groups(length: int):
         twice = (np.minimum.reduceat(p, at) != np.maximum.reduceat(p, at)) | np.logical_or.reduceat(often[u], at)
         hit = np.repeat(twice, np.diff(np.concatenate([at, [len(k)]])))
         chunked = np.array([own[0]["chunks"] > 1 for _, own in groups])[g]
-        for i in np.flatnonzero(chunked & (new | ~hit)):
-            r = rows[u[i]]
-            x = xxhash.xxh3_128_intdigest(text[o[i] : o[i] + length])
-            yield r["_d"], r["_n"], r["_th"], int(r["begin"] + o[i] - first[u[i]]), None, *_two_longs(x), 2 if hit[i] else 1
+        open_ones = np.flatnonzero(chunked & (new | ~hit))
+        if len(open_ones):
+            mark_at = np.array([r["at"] for r in rows])
+            at = u[open_ones]
+            ahead = begin[at] + o[open_ones] - first[at] - mark_at[at] + length - gram
+            by = np.lexsort((ahead, at))
+            open_ones, at, ahead = open_ones[by], at[by], ahead[by]
+            cuts = np.flatnonzero((np.diff(at) != 0) | (np.diff(ahead // BLOCK) != 0)) + 1
+            for own, places in zip(np.split(open_ones, cuts), np.split(ahead, cuts)):
+                i, low = u[own[0]], int(places[0] // BLOCK) * BLOCK
+                r, zero = rows[i], first[i] + mark_at[i] - begin[i] - (length - gram)
+                core = text[zero + min(low + BLOCK - 1, length - gram) : zero + low + length]
+                one, two = _two_longs(xxhash.xxh3_128_intdigest(core, seed=low))
+                strings = b"".join(xxhash.xxh3_128_digest(text[k : k + length]) for k in o[own].tolist())
+                mask, classes = (sum(1 << int(p) - low for p, h in zip(places, hit[own]) if h or not c) for c in (False, True))
+                yield r["_d"], r["_n"], r["_th"], int(mark_at[i] - (length - gram) + low), None, one, two, 1, r["chunk"], mask, classes, strings
         o = np.sort(o[hit])
         if not len(o):
             return
@@ -162,7 +177,7 @@ def _sorted_groups(length: int):
             r = rows[u[a]]
             if r["n"] == 1:
                 low = int(r["begin"] + o[a] - first[u[a]])
-                yield r["_d"], r["_n"], r["_th"], low, int(r["begin"] + o[b] - first[u[b]]) + length, None, None, 0
+                yield r["_d"], r["_n"], r["_th"], low, int(r["begin"] + o[b] - first[u[b]]) + length, None, None, 0, None, None, None, None
 
     return work
 
@@ -172,12 +187,26 @@ def _two_longs(x: int) -> tuple[int, int]:
     return one - (one >> 63 << 64), two - (two >> 63 << 64)
 
 
-def _sort_units(units: DataFrame, length: int) -> DataFrame:
-    """Spans (n = 0: low, high) and hashed strings (n > 0: low, one, two) of each group of units (mark, chunk)."""
-    schema = "_d long, _n boolean, _th long, low long, high long, one long, two long, n int"
+def _strings(batch: pa.RecordBatch) -> dict:
+    """A row for each string of a block: where it begins, its hash, and n = 2 if it is repeated in its chunk."""
+    take, low, hashes, n = [], [], [], []
+    for i, (start, mask, classes, packed) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("low", "mask", "classes", "strings")))):
+        places = [k for k in range(BLOCK) if mask >> k & 1]
+        take += [i] * len(places)
+        low += [start + k for k in places]
+        hashes.append(packed)
+        n += [2 if classes >> k & 1 else 1 for k in places]
+    pairs = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
+    index = pa.array(np.array(take, np.int64))
+    return {k: batch.column(k).take(index) for k in KEY} | {"low": low, "one": pairs[:, 0], "two": pairs[:, 1], "n": n}
+
+
+def _sort_units(units: DataFrame, length: int, gram: int) -> DataFrame:
+    """Spans (n = 0: low, high) and blocks (n = 1: low, one, two, chunk, mask, classes, strings) of each group of units."""
+    schema = "_d long, _n boolean, _th long, low long, high long, one long, two long, n int, chunk int, mask long, classes long, strings binary"
     small_batches(units.sparkSession)
     kinds = arrow_schema(units.sparkSession, schema)
-    work = _sorted_groups(length)
+    work = _sorted_groups(length, gram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full: list = []
@@ -213,8 +242,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     A mark that occurs once can't be in a repeated string. Where all of a mark's units are equal, they are repeated
     whole, and so is any unit that occurs twice: large groups of copies end here, as counts. What is left are marks with
     different surroundings: one copy of each unit meets the others of its mark in a suffix array. If there are more than
-    ``most_units``, they are sorted in chunks, and strings that are single in their chunk meet those of the other chunks
-    by a hash of 128 bits, so that no mark is gathered in one task and no link between chunks is lost.
+    ``most_units``, they are sorted in chunks. Strings that are single in their chunk then meet those of the other
+    chunks: first the bytes that BLOCK neighbouring strings have in common, which equal strings share, and where these
+    are in two chunks the strings themselves, by hashes of 128 bits. So no mark is gathered in one task, no link between
+    chunks is lost, and few strings are dealt out one by one.
     """
     spark = docs.sparkSession
     every = saved(marks(docs, length, gram), "marks")
@@ -233,13 +264,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     texts = keyed(docs).select(*KEY, F.col("text").cast("binary").alias("text")).join(wanted, KEY)
     cut = texts.select(*KEY, F.explode(F.transform("units", lambda u: _cut(u, length, gram))).alias("u")).select(*KEY, "u.*")
     cut = cut.withColumn("chunk", F.pmod(F.xxhash64(*KEY, "begin"), F.col("chunks")).cast("int"))
-    found = saved(_sort_units(cut, length), "found")
-    strings = found.where("n > 0")
+    found = saved(_sort_units(cut, length, gram), "found")
+    blocks = found.where("n > 0")
+    cores = saved(blocks.groupBy("one", "two").agg(F.min("chunk").alias("a"), F.max("chunk").alias("b")).where("a != b").select("one", "two"), "cores")
+    wanted = blocks.join(cores, ["one", "two"], "left_semi").select(*KEY, "low", "mask", "classes", "strings")
+    strings = saved(by_batch(wanted, _strings, "_d long, _n boolean, _th long, low long, one long, two long, n int"), "strings")
     start = F.struct(*KEY, "low")
     twice = saved(strings.groupBy("one", "two").agg(F.max("n").alias("most"), F.min(start).alias("a"), F.max(start).alias("b")).where("most > 1 or a != b").select("one", "two"), "twice")
     across = strings.where("n = 1").join(twice, ["one", "two"], "left_semi").select(*KEY, "low", (F.col("low") + length).alias("high"))
     runs = saved(whole.unionByName(found.where("n = 0").select(*KEY, "low", "high")).unionByName(across), "runs")
-    release(shared, units, found, twice)
+    release(shared, units, found, cores, strings, twice)
     drop_shuffles(spark)
     return runs.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("low", "high"))).alias("spans"))
 
@@ -247,7 +281,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
 def _cut(u: F.Column, length: int, gram: int) -> F.Column:
     begin = F.greatest(F.lit(0).cast("long"), u["at"] - (length - gram))
     size = u["at"] + length - begin
-    return F.struct(u["mark"].alias("mark"), u["n"].alias("n"), u["chunks"].alias("chunks"), begin.alias("begin"), F.substring(F.col("text"), (begin + 1).cast("int"), size.cast("int")).alias("bytes"))
+    return F.struct(u["mark"].alias("mark"), u["n"].alias("n"), u["chunks"].alias("chunks"), u["at"].alias("at"), begin.alias("begin"), F.substring(F.col("text"), (begin + 1).cast("int"), size.cast("int")).alias("bytes"))
 
 
 def _kept(batch: pa.RecordBatch) -> dict:
