@@ -45,7 +45,7 @@ def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), grams=True)
     return found.select("doc_id", "n_removed", F.md5("text").alias("text_md5"), F.octet_length("text").alias("n_bytes"))
 
 
