@@ -81,7 +81,14 @@ class Model:
     bias: np.ndarray
     temperature: float
     pairs: list[tuple[str, frozenset, Counter]]  # family, word pairs and words of each template
-    telling: frozenset  # words of templates that ordinary text has seldom
+
+    def __post_init__(self) -> None:
+        self.every = frozenset().union(*(pairs for _, pairs, _ in self.pairs))
+
+    def confirmable(self, words: list[str]) -> bool:
+        """Whether the words hold CONFIRMED of the word pairs of some template, without which confirmed() is less."""
+        own = self.every.intersection(zip(words, words[1:]))
+        return bool(own) and any(pairs and len(pairs & own) / len(pairs) >= CONFIRMED for _, pairs, _ in self.pairs)
 
     def probabilities(self, words: list[str]) -> np.ndarray:
         ids = [i for i in map(self.index.get, grams_of(words)) if i is not None]
@@ -111,11 +118,12 @@ class Model:
     def findings(self, text: str) -> list[tuple[int, int, str, float]]:
         """(start, end, family, probability) of the passages with a licence, the smallest ones where they overlap."""
         found = []
-        if self.telling.isdisjoint(words_of(text)):
+        # neighbours in a passage are neighbours in the text
+        if not self.confirmable(words_of(text)):
             return found
         for low, high in passages(text):
             words = words_of(text[low:high])
-            if not self.telling.isdisjoint(words):
+            if self.confirmable(words):
                 family, p, _ = self.of(words)
                 if family != UNKNOWN:
                     found.append((low, high, family, p))
@@ -143,7 +151,6 @@ def train(unknown: list[list[str]], steps: int = STEPS, seed: int = SEED) -> Mod
     families = [UNKNOWN, *TEMPLATES]
     originals = [(f, words_of(t)) for f, ts in TEMPLATES.items() for t in ts]
     negatives = [words_of(t) for t in NEGATIVES]
-    template_words = {w for _, ws in originals for w in ws}
     # an ordinary passage that shares a template's pairs isn't an example of the unknown
     pairs = [(f, frozenset(zip(w, w[1:])), Counter(w)) for f, w in originals]
     every = set().union(*(p for _, p, _ in pairs))
@@ -189,8 +196,7 @@ def train(unknown: list[list[str]], steps: int = STEPS, seed: int = SEED) -> Mod
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w -= step[:-1]
         b -= step[-1]
-    common = {x for x, n in seen.items() if n > 0.002 * max(1, len(unknown))}
-    model = Model(families, index, w.astype(np.float32), b, 1.0, pairs, frozenset(template_words - common))
+    model = Model(families, index, w.astype(np.float32), b, 1.0, pairs)
     model.temperature = _temperature(model, held)
     return model
 
@@ -229,8 +235,8 @@ def scan(docs: DataFrame, model: Model | None = None, sample: int = SAMPLE) -> D
 
     Every passage of every whole text is classified. A family counts if its calibrated probability is CERTAIN or more
     and one of its templates has CONFIRMED of its word pairs and words in the passage. Null, empty and ordinary texts
-    have none, and probability 0. Repeated rows are scanned as they come. Passages without any word that tells licences
-    from ordinary text can't be confirmed and aren't scored. Columns other than doc_id and text are not looked at.
+    have none, and probability 0. Repeated rows are scanned as they come. Passages that hold too few word pairs of every
+    template can't be confirmed and aren't scored. Columns other than doc_id and text are not looked at.
     """
     held = docs.sparkSession.sparkContext.broadcast(model or fit(docs, sample))
 
