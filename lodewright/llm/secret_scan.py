@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -27,6 +28,10 @@ _ACCESS, _HEX = re.compile("AKIA[A-Z0-9]{14,}"), re.compile("[0-9a-f]{16,}")
 _RUN = re.compile("[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
 _UUID = re.compile("[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
 _DIGEST = re.compile("(?:md5|sha1|sha224|sha256|sha384|sha512)?[-_=/]?(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{56}|[0-9A-F]{64}|[0-9A-F]{96}|[0-9A-F]{128})")
+#: Padding and joining marks.
+_MARKS = "=_-+/"
+#: What is cut out of a run before its pieces are tested.
+_KNOWN = re.compile(f"{_UUID.pattern}|(?<![A-Za-z0-9])(?:{_DIGEST.pattern})(?![A-Za-z0-9])")
 #: Subresource integrity: sha256-<base64>.
 _INTEGRITY = re.compile("sha(?:256|384|512)-[A-Za-z0-9+/]+=*")
 #: Words joined by case, _, - or /, with a number after a word: names in code and paths.
@@ -58,19 +63,35 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def known(run: str) -> bool:
     """Digests, UUIDs and identifiers, which are long or look random but are no secrets by themselves."""
-    return bool(_UUID.search(run) or _DIGEST.fullmatch(run) or _INTEGRITY.fullmatch(run) or _NAME.fullmatch(run)) or run.isdigit()
+    return bool(_UUID.fullmatch(run) or _DIGEST.fullmatch(run) or _INTEGRITY.fullmatch(run) or _NAME.fullmatch(run)) or run.isdigit()
 
 
-def random_spans(text: str, path: str, ratio: float = RATIO) -> list[tuple[int, int, str]]:
-    """Maximal runs of letters, digits and +/_=- whose characters a token are few, unless they are known().
-
-    A run needs two of lower case, upper case and digits: rulers and words are no keys. Padding and joining marks at
-    its ends don't count.
+def pieces(text: str, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int, str]]:
+    """(start, string) of what is left of each maximal run without UUIDs, digests and the spans in ``taken``."""
+    for m in _RUN.finditer(text):
+        gone = [(a, b) for a, b, _ in taken if a < m.end() and m.start() < b]
+        if not known(m[0].strip(_MARKS)):
+            gone += [(m.start() + x.start(), m.start() + x.end()) for x in _KNOWN.finditer(m[0])]
+        low = m.start()
+        for a, b in sorted(gone):
+            if a > low:
+                yield low, text[low:a]
+            low = max(low, b)
+        if low < m.end():
+            yield low, text[low : m.end()]
+
+
+def random_spans(text: str, path: str, ratio: float = RATIO, taken: list[tuple[int, int, str]] = ()) -> list[tuple[int, int, str]]:
+    """Runs of letters, digits and +/_=- whose characters a token are few, unless they are known().
+
+    UUIDs, digests and the spans in ``taken`` are cut out of a maximal run, and each piece that is left is tested by
+    itself. It needs two of lower case, upper case and digits: rulers and words are no keys. Padding and joining marks
+    at its ends don't count.
     """
     out = []
-    for m in _RUN.finditer(text):
-        run = m[0].strip("=_-+/")
-        low = m.start() + m[0].index(run) if run else 0
+    for start, piece in pieces(text, taken):
+        run = piece.strip(_MARKS)
+        low = start + piece.index(run) if run else 0
         if len(run) < MIN_RUN or sum((run.lower() != run, run.upper() != run, any(c.isdigit() for c in run))) < 2 or known(run):
             continue
         if len(run) < ratio * len(encoding(path).encode_ordinary(run)):
@@ -98,7 +119,7 @@ def scan(docs: DataFrame, path: str | None = None, ratio: float = RATIO) -> Data
         for raw in batch.column("text").to_pylist():
             text = (raw or b"").decode("utf-8", "replace")
             base = base_spans(text)
-            more = [s for s in random_spans(text, where, ratio) if not any(a < s[1] and s[0] < b for a, b, _ in base)]
+            more = random_spans(text, where, ratio, base)
             kinds = [k for _, _, k in base]
             every = joined(base + more)
             for k, v in zip(out, (kinds.count("assign"), kinds.count("access"), kinds.count("hex"), hashlib.sha256(joined(base).encode()).hexdigest(), every, len(more), [text[int(a) : int(b)] for _, a, b in (s.split(":") for s in every.split(",") if s)])):
