@@ -28,6 +28,8 @@ _ACCESS, _HEX = re.compile("AKIA[A-Z0-9]{14,}"), re.compile("[0-9a-f]{16,}")
 _RUN = re.compile("[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
 _UUID = re.compile("[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
 _DIGEST = re.compile("(?:md5|sha1|sha224|sha256|sha384|sha512)?[-_=/]?(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{56}|[0-9A-F]{64}|[0-9A-F]{96}|[0-9A-F]{128})")
+#: Fixed value: how the vocabulary's tokenizer splits a text before it merges bytes.
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+"
 #: Padding and joining marks.
 _MARKS = "=_-+/"
 #: What is cut out of a run before its pieces are tested.
@@ -35,24 +37,27 @@ _KNOWN = re.compile(f"{_UUID.pattern}|(?<![A-Za-z0-9])(?:{_DIGEST.pattern})(?![A
 #: Subresource integrity: sha256-<base64>.
 _INTEGRITY = re.compile("sha(?:256|384|512)-[A-Za-z0-9+/]+=*")
 #: Words joined by case, _, - or /, with a number after a word: names in code and paths.
-_NAME = re.compile("/*(?:(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}(?![a-z]))[0-9]{0,4}[_/=+-]*)+")
+#: Nothing is given back once it has matched, so that the time is linear; of capitals before a word, the last one begins it.
+_NAME = re.compile("/*+(?:(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}(?=[A-Z][a-z])|[A-Z]{2,}+(?![a-z]))[0-9]{0,4}+(?![0-9])[_/=+-]*+)++")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
-    import public_tokenizers
-
+    """Where the installed vocabulary file is; scan() takes any other path."""
+    try:
+        import public_tokenizers
+    except ImportError as e:
+        raise RuntimeError("no vocabulary files are installed here: give scan() the path of a file of ranks, the same on every executor") from e
     return public_tokenizers.path(name)
 
 
 @lru_cache(maxsize=2)
 def encoding(path: str):
     """The tokenizer of a vocabulary file of ranks, loaded once a worker."""
-    import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("secrets", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("secrets", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -68,8 +73,20 @@ def known(run: str) -> bool:
 
 def pieces(text: str, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int, str]]:
     """(start, string) of what is left of each maximal run without UUIDs, digests and the spans in ``taken``."""
+    merged: list[list[int]] = []
+    for a, b in sorted((a, b) for a, b, _ in taken):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(b, merged[-1][1])
+        else:
+            merged.append([a, b])
+    first = 0
     for m in _RUN.finditer(text):
-        gone = [(a, b) for a, b, _ in taken if a < m.end() and m.start() < b]
+        while first < len(merged) and merged[first][1] <= m.start():
+            first += 1
+        gone, k = [], first
+        while k < len(merged) and merged[k][0] < m.end():
+            gone.append(tuple(merged[k]))
+            k += 1
         if not known(m[0].strip(_MARKS)):
             gone += [(m.start() + x.start(), m.start() + x.end()) for x in _KNOWN.finditer(m[0])]
         low = m.start()
