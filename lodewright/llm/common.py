@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -10,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 #: Bytes of an Arrow batch that goes to a Python worker; a batch holds one row at least, however long.
 BATCH_BYTES = 8 << 20
@@ -18,10 +21,15 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session, or one of our own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir of the session, or one of our own where that is unset.
+
+    A folder of our own is local: it is refused unless the driver is the only machine.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="lodewright-")
@@ -64,7 +72,7 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
 
 
-def by_batch(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | dict], schema: str) -> DataFrame:
+def by_batch(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | dict], schema: str | StructType) -> DataFrame:
     """mapInArrow with a function of one batch; it returns a dict of columns in the order of the schema."""
     small_batches(df.sparkSession)
     kinds = arrow_schema(df.sparkSession, schema)
@@ -78,12 +86,43 @@ def by_batch(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch
     return df.mapInArrow(run, schema)
 
 
-def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+def arrow_schema(spark: SparkSession, schema: str | StructType) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
+
+
+class Veil:
+    """A caller's table under column names of our own (c0, c1, ...), so that no name of the caller's can clash.
+
+    Names are found as Spark finds them: in any case, the same spelling first. Repeated names are different columns.
+    """
+
+    def __init__(self, docs: DataFrame):
+        self.schema, self.names = docs.schema, docs.columns
+        self.own = [f"c{i}" for i in range(len(self.names))]
+        self.df = docs.toDF(*self.own)
+
+    def at(self, name: str) -> str:
+        for same in (lambda c: c == name, lambda c: c.lower() == name.lower()):
+            for c, own in zip(self.names, self.own):
+                if same(c):
+                    return own
+        raise ValueError(f"a column {name} is needed; there are {', '.join(self.names)}")
+
+    def col(self, name: str) -> F.Column:
+        return F.col(self.at(name))
 
-    kind = StructType.fromDDL(schema)
-    return to_arrow_schema(kind)
+    def keyed(self) -> DataFrame:
+        """df with _d, _n and _th: see keyed()."""
+        d, t = self.col("doc_id"), self.col("text")
+        return self.df.withColumns({"_d": F.coalesce(d.cast("long"), F.lit(0)), "_n": d.isNull(), "_th": F.xxhash64(t, t.isNull())})
+
+    def fields(self, *without: str) -> StructType:
+        """Our names with the caller's kinds, without the columns so named."""
+        return StructType([StructField(own, f.dataType, f.nullable) for own, f in zip(self.own, self.schema) if f.name not in without])
+
+    def back(self, df: DataFrame, added: tuple[str, ...] = ()) -> DataFrame:
+        """The caller's columns under their names, those called like added ones left out, and then the added ones."""
+        return df.select(*[F.col(own).alias(name) for own, name in zip(self.own, self.names) if name not in added], *added)
 
 
 def text_hash(text: str = "text") -> F.Column:
@@ -91,10 +130,10 @@ def text_hash(text: str = "text") -> F.Column:
     return F.xxhash64(F.col(text), F.col(text).isNull())
 
 
-
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs with columns that identify a row and are never null: _d and _n (doc_id or 0, and whether it is null), _th."""
-    return docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_n": F.col("doc_id").isNull(), "_th": text_hash()})
+    """Columns that identify a row and are never null: _d and _n (doc_id or 0, and whether it is null), _th; and text, as bytes."""
+    veil = Veil(docs)
+    return veil.keyed().select(*KEY, veil.col("text").cast("binary").alias("text"))
 
 
 KEY = ["_d", "_n", "_th"]

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, by_batch, connected, keyed, majority, saved, text_hash
+from .common import KEY, Veil, by_batch, connected, majority, saved, text_hash
 from .hamming import links, ring
 
 SEED, WORDS, RADIUS = 42, 3, 3
@@ -69,4 +69,5 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     found = near_duplicates(docs, radius)
     first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("k"))
     first = first.select(F.coalesce("k.doc_id", F.lit(0)).alias("_d"), F.col("k.none").alias("_n"), F.col("k.th").alias("_th"))
-    return keyed(docs).join(first, KEY, "left_semi").dropDuplicates(KEY).select(*docs.columns)
+    veil = Veil(docs)
+    return veil.back(veil.keyed().join(first, KEY, "left_semi").dropDuplicates(KEY))

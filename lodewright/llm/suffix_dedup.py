@@ -110,7 +110,7 @@ def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
         take = pa.array(text)
         return {k: batch.column(k).take(take) for k in KEY} | {"at": at - first, "mark": mark.view(np.int64), "unit": np.array(units, np.uint64).view(np.int64)}
 
-    cut = keyed(docs).select(*KEY, F.col("text").cast("binary").alias("text"))
+    cut = keyed(docs)
     return by_batch(cut, work, "_d long, _n boolean, _th long, at long, mark long, unit long")
 
 
@@ -261,7 +261,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     groups = units.where("differ").groupBy("mark").agg(F.count("*").alias("units"), F.min("n").alias("least")).where("least = 1").select("mark", "units")
     needed = units.where("differ").join(groups, "mark").select("p.*", "mark", "n", F.ceil(F.col("units") / F.lit(most_units)).cast("int").alias("chunks"))
     wanted = needed.groupBy(*KEY).agg(F.collect_list(F.struct("at", "mark", "n", "chunks")).alias("units"))
-    texts = keyed(docs).select(*KEY, F.col("text").cast("binary").alias("text")).join(wanted, KEY)
+    texts = keyed(docs).join(wanted, KEY)
     cut = texts.select(*KEY, F.explode(F.transform("units", lambda u: _cut(u, length, gram))).alias("u")).select(*KEY, "u.*")
     cut = cut.withColumn("chunk", F.pmod(F.xxhash64(*KEY, "begin"), F.col("chunks")).cast("int"))
     found = saved(_sort_units(cut, length, gram), "found")
