@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Bytes of an Arrow batch that goes to a Python worker; a batch holds one row at least, however long.
 BATCH_BYTES = 8 << 20
@@ -139,6 +139,20 @@ def keyed(docs: DataFrame) -> DataFrame:
 KEY = ["_d", "_n", "_th"]
 
 
+def least_share(key: F.Column, share: float) -> F.Column:
+    """Whether a 64-bit hash is among the least ``share`` of all hashes: a sample that needs no sorting."""
+    return F.lit(True) if share >= 1 else key < F.lit(int(share * 2**64) - 2**63)
+
+
+def text_once(veil: Veil) -> tuple[DataFrame, str, Callable[[pa.RecordBatch], list[str]]]:
+    """(rows, column, texts of a batch): the caller's columns, and the text, which goes to Python once: as it is if it is a string."""
+    own = veil.at("text")
+    if isinstance(veil.schema[veil.own.index(own)].dataType, StringType):
+        return veil.df, own, lambda batch: [t or "" for t in batch.column(own).to_pylist()]
+    rows = veil.df.withColumn("_t", F.col(own).cast("binary"))
+    return rows, "_t", lambda batch: [(t or b"").decode("utf-8", "replace") for t in batch.column("_t").to_pylist()]
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the smallest node that it reaches.
 
