@@ -10,19 +10,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import KEY, arrow_schema, by_batch, drop_shuffles, keyed, release, saved, small_batches
+from .common import KEY, Veil, arrow_schema, by_batch, drop_shuffles, keyed, release, saved, small_batches
 from .suffix_array import adjacent_common, suffix_array
 
 LENGTH = 200
 #: Bytes of the string that marks a place; each string of LENGTH bytes holds LENGTH - GRAM + 1 of them.
 GRAM = 64
-#: Distinct surroundings of one mark that are sorted together; those of marks with more are sorted in chunks.
+#: Units of one group that are sorted together; larger groups are divided by longer common strings.
 MOST_UNITS = 2000
 #: Bytes that a task sorts at once: whole groups up to this size, or one group.
 SORT_BYTES = 400_000
-#: Neighbouring strings that chunks of a mark's units compare by what they have in common first.
-BLOCK = 35
 _CHUNK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -55,8 +54,12 @@ class Marks:
             x *= np.uint64(0xD6E8FEB86659FD93)
         return x
 
-    def find(self, t: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text number, place in t, hash) of every mark in texts that stand one after another in t."""
+    def find(self, t: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(text number, place in t, first start, last start, hash) of every mark in texts that stand one after another in t.
+
+        The strings whose mark it is begin from the first start to the last one: each string has one mark, and those of
+        one mark are neighbours.
+        """
         ends = np.cumsum(lengths)
         out = []
         for low in range(0, max(0, len(t) - self.length + 1), _CHUNK):
@@ -73,16 +76,15 @@ class Marks:
             starts = low + np.arange(len(least))
             text = np.searchsorted(ends, starts, side="right")
             inside = starts + self.length <= ends[text]
-            at = (least[inside] & np.uint64(0xFFFFF)).astype(np.int64)
-            text = text[inside]
+            at, text, starts = (least[inside] & np.uint64(0xFFFFF)).astype(np.int64), text[inside], starts[inside]
             if len(at):
-                new = np.concatenate([[True], (at[1:] != at[:-1])])
-                out.append((text[new], at[new] + low, hashes[at[new]]))
+                new = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+                out.append((text[new], at[new] + low, starts[new], starts[np.append(new[1:], len(at)) - 1], hashes[at[new]]))
         if not out:
-            return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
-        text, at, hashes = (np.concatenate(x) for x in zip(*out))
-        new = np.concatenate([[True], at[1:] != at[:-1]])
-        return text[new], at[new], hashes[new]
+            return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
+        text, at, first, last, hashes = (np.concatenate(x) for x in zip(*out))
+        new = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        return text[new], at[new], first[new], last[np.append(new[1:], len(at)) - 1], hashes[new]
 
 
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, bytes]:
@@ -93,159 +95,133 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, bytes]:
 
 
 def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """_d, _n, _th, at, mark, unit, one row for each mark of each text.
+    """_d, _n, _th, at, low, more, mark, unit, one row for each mark of each text.
 
-    The unit is what surrounds a mark: all strings of ``length`` bytes that contain its gram, cut at the ends of the
-    text. unit is the hash of these bytes, at the gram's place in the text.
+    The strings that have the mark at ``at`` begin at ``low`` and the ``more`` places after it. Their bytes together are
+    the unit; its hash tells at which place the mark is, too.
     """
     finder = Marks(length, gram)
 
     def work(batch: pa.RecordBatch) -> dict:
         t, lengths, joined = _bytes_of(batch.column("text"))
-        text, at, mark = finder.find(t, lengths)
-        ends = np.cumsum(lengths)
-        first = (ends - lengths)[text]
-        low, high = np.maximum(first, at - (length - gram)), np.minimum(ends[text], at + length)
-        units = [xxhash.xxh3_64_intdigest(joined[a:b]) for a, b in zip(low.tolist(), high.tolist())]
-        take = pa.array(text)
-        return {k: batch.column(k).take(take) for k in KEY} | {"at": at - first, "mark": mark.view(np.int64), "unit": np.array(units, np.uint64).view(np.int64)}
+        text, at, first, last, mark = finder.find(t, lengths)
+        units = [xxhash.xxh3_64_intdigest(joined[a : b + length], c - a) for a, b, c in zip(first.tolist(), last.tolist(), at.tolist())]
+        take, zero = pa.array(text), (np.cumsum(lengths) - lengths)[text]
+        return {k: batch.column(k).take(take) for k in KEY} | {"at": at - zero, "low": first - zero, "more": last - first, "mark": mark.view(np.int64), "unit": np.array(units, np.uint64).view(np.int64)}
 
-    cut = keyed(docs)
-    return by_batch(cut, work, "_d long, _n boolean, _th long, at long, mark long, unit long")
+    return by_batch(keyed(docs), work, "_d long, _n boolean, _th long, at int, low int, more int, mark long, unit long")
 
 
-def _sorted_groups(length: int, gram: int):
-    """Of units that share a mark: the runs of bytes in each that are covered by strings another place has too.
+_PART = "_d long, _n boolean, _th long, n long, low int, more int, a int, b int, mark long, unit long, bytes binary"
 
-    A group that is a chunk of a mark's units also gives blocks for the other chunks to meet: strings that begin at up
-    to BLOCK neighbouring places before the mark, with the hash of the bytes common to all such strings. A block has
-    hashes of its strings that nothing else in the chunk has, and of one of each class that is repeated already.
-    """
 
-    def work(groups: list[tuple[np.ndarray, list]]) -> Iterator[tuple]:
-        text = b"".join(r["bytes"] for _, rows in groups for r in rows)
-        rows = [r for _, own in groups for r in own]
-        group = np.repeat(np.arange(len(groups)), [len(own) for _, own in groups])
-        sizes = np.array([len(r["bytes"]) for r in rows])
-        first = np.cumsum(sizes) - sizes
-        order = suffix_array(text, length)
-        equal = adjacent_common(text, order, length)
-        # a run of neighbours with a long common prefix is one class of equal strings
-        kind = np.concatenate([[0], np.cumsum(~equal)]) if len(order) else order
-        unit = np.searchsorted(first, order, side="right") - 1
-        inside = order - first[unit] + length <= sizes[unit]
-        order, kind, unit = order[inside], kind[inside], unit[inside]
-        # one place of a text can be in two units: only different places count, or a unit that occurs elsewhere whole
-        texts = {}
-        number = np.array([texts.setdefault((r["_d"], r["_n"], r["_th"]), len(texts)) for r in rows])
-        begin = np.array([r["begin"] for r in rows])
-        often = np.array([r["n"] > 1 for r in rows])
-        place = (number[unit] << 40) + begin[unit] + order - first[unit]
-        by = np.lexsort((place, group[unit], kind))
-        k, g, p, u, o = kind[by], group[unit][by], place[by], unit[by], order[by]
-        if not len(k):
-            return
-        new = np.concatenate([[True], (k[1:] != k[:-1]) | (g[1:] != g[:-1])])
-        at = np.flatnonzero(new)
-        twice = (np.minimum.reduceat(p, at) != np.maximum.reduceat(p, at)) | np.logical_or.reduceat(often[u], at)
-        hit = np.repeat(twice, np.diff(np.concatenate([at, [len(k)]])))
-        chunked = np.array([own[0]["chunks"] > 1 for _, own in groups])[g]
-        open_ones = np.flatnonzero(chunked & (new | ~hit))
-        if len(open_ones):
-            mark_at = np.array([r["at"] for r in rows])
-            at = u[open_ones]
-            ahead = begin[at] + o[open_ones] - first[at] - mark_at[at] + length - gram
-            by = np.lexsort((ahead, at))
-            open_ones, at, ahead = open_ones[by], at[by], ahead[by]
-            cuts = np.flatnonzero((np.diff(at) != 0) | (np.diff(ahead // BLOCK) != 0)) + 1
-            for own, places in zip(np.split(open_ones, cuts), np.split(ahead, cuts)):
-                i, low = u[own[0]], int(places[0] // BLOCK) * BLOCK
-                r, zero = rows[i], first[i] + mark_at[i] - begin[i] - (length - gram)
-                core = text[zero + min(low + BLOCK - 1, length - gram) : zero + low + length]
-                one, two = _two_longs(xxhash.xxh3_128_intdigest(core, seed=low))
-                strings = b"".join(xxhash.xxh3_128_digest(text[k : k + length]) for k in o[own].tolist())
-                mask, classes = (sum(1 << int(p) - low for p, h in zip(places, hit[own]) if h or not c) for c in (False, True))
-                yield r["_d"], r["_n"], r["_th"], int(mark_at[i] - (length - gram) + low), None, one, two, 1, r["chunk"], mask, classes, strings
-        o = np.sort(o[hit])
-        if not len(o):
-            return
-        u = np.searchsorted(first, o, side="right") - 1
-        brk = np.concatenate([[True], (u[1:] != u[:-1]) | (o[1:] > o[:-1] + 1)])
-        starts = np.flatnonzero(brk)
-        ends = np.concatenate([starts[1:], [len(o)]]) - 1
-        for a, b in zip(starts, ends):
-            r = rows[u[a]]
-            if r["n"] == 1:
-                low = int(r["begin"] + o[a] - first[u[a]])
-                yield r["_d"], r["_n"], r["_th"], low, int(r["begin"] + o[b] - first[u[b]]) + length, None, None, 0, None, None, None, None
-
-    return work
-
-
-def _two_longs(x: int) -> tuple[int, int]:
-    one, two = x >> 64, x & (2**64 - 1)
-    return one - (one >> 63 << 64), two - (two >> 63 << 64)
-
-
-def _strings(batch: pa.RecordBatch) -> dict:
-    """A row for each string of a block: where it begins, its hash, and n = 2 if it is repeated in its chunk."""
-    take, low, hashes, n = [], [], [], []
-    for i, (start, mask, classes, packed) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("low", "mask", "classes", "strings")))):
-        places = [k for k in range(BLOCK) if mask >> k & 1]
-        take += [i] * len(places)
-        low += [start + k for k in places]
-        hashes.append(packed)
-        n += [2 if classes >> k & 1 else 1 for k in places]
-    pairs = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
-    index = pa.array(np.array(take, np.int64))
-    return {k: batch.column(k).take(index) for k in KEY} | {"low": low, "one": pairs[:, 0], "two": pairs[:, 1], "n": n}
-
-
-def _sort_units(units: DataFrame, length: int, gram: int) -> DataFrame:
-    """Spans (n = 0: low, high) and blocks (n = 1: low, one, two, chunk, mask, classes, strings) of each group of units."""
-    schema = "_d long, _n boolean, _th long, low long, high long, one long, two long, n int, chunk int, mask long, classes long, strings binary"
-    small_batches(units.sparkSession)
-    kinds = arrow_schema(units.sparkSession, schema)
-    work = _sorted_groups(length, gram)
+def _parts(batch: pa.RecordBatch, length: int) -> dict:
+    """Each unit in two parts: strings that hold more on the left of the common bytes a:b than on the right, and the others.
+
+    A string needs length - (b - a) bytes besides these, so at least half of them on its longer side. These become
+    common bytes, too, and their hash the part's mark: equal strings are in parts with the same mark.
+    """
+    take, out = [], {k: [] for k in ("low", "more", "a", "b", "mark", "unit", "bytes")}
+    for i, (low, more, a, b, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("low", "more", "a", "b", "bytes")))):
+        half = (length - (b - a) + 1) // 2
+        last = low + more
+        for side, x, y, c, d in ((0, low, min(last, a - half), a - half, b), (1, max(low, a - half + 1), last, a, b + half)):
+            if x > y:
+                continue
+            own = text[x - low : y - low + length]
+            take.append(i)
+            for k, v in zip(out, (x, y - x, c, d, xxhash.xxh3_64_intdigest(text[c - low : d - low], 2 * (d - c) + side), xxhash.xxh3_64_intdigest(own, c - x), own)):
+                out[k].append(v)
+    index = pa.array(take, pa.int64())
+    longs = {k: np.array(out[k], np.uint64).view(np.int64) for k in ("mark", "unit")}
+    return {k: batch.column(k).take(index) for k in (*KEY, "n")} | out | longs
+
+
+def _spans_of(rows: list[dict], length: int) -> Iterator[tuple]:
+    """(_d, _n, _th, low, high): the runs of bytes of units that occur once covered by strings that occur twice in rows or in a unit that occurs twice."""
+    text = b"".join(r["bytes"] for r in rows)
+    sizes = np.array([len(r["bytes"]) for r in rows])
+    first = np.cumsum(sizes) - sizes
+    order = suffix_array(text, length)
+    equal = adjacent_common(text, order, length)
+    # a run of neighbours with a long common prefix is one class of equal strings
+    kind = np.concatenate([[0], np.cumsum(~equal)])
+    unit = np.searchsorted(first, order, side="right") - 1
+    inside = order - first[unit] + length <= sizes[unit]
+    order, kind, unit = order[inside], kind[inside], unit[inside]
+    weight = np.array([min(2, r["n"]) for r in rows])[unit]
+    hit = np.bincount(kind, weight)[kind] > 1
+    o = np.sort(order[hit])
+    if not len(o):
+        return
+    u = np.searchsorted(first, o, side="right") - 1
+    starts = np.flatnonzero(np.append(True, (u[1:] != u[:-1]) | (o[1:] > o[:-1] + 1)))
+    for a, b in zip(starts, np.append(starts[1:], len(o)) - 1):
+        r = rows[u[a]]
+        if r["n"] == 1:
+            zero = r["low"] - first[u[a]]
+            yield r["_d"], r["_n"], r["_th"], int(o[a] + zero), int(o[b] + zero) + length
+
+
+def _sorted_spans(parts: DataFrame, length: int) -> DataFrame:
+    """Spans (see _spans_of) of parts that share a mark; equal ones are told by their hashes and sorted once."""
+    schema = "_d long, _n boolean, _th long, low int, high int"
+    small_batches(parts.sparkSession)
+    kinds = arrow_schema(parts.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        full: list = []
-        size, mark, own = 0, None, []
+        full: list[dict] = []
+        found: list[tuple] = []
+        size, own, same = 0, [], []
+
+        def whole() -> None:
+            """One of several equal parts goes on, with their number; they are covered from end to end."""
+            if len(same) > 1 or same[0]["n"] > 1:
+                found.extend((r["_d"], r["_n"], r["_th"], r["low"], r["low"] + r["more"] + length) for r in same if r["n"] == 1)
+            own.append(same[0] | {"n": sum(r["n"] for r in same)})
+
+        def close() -> None:
+            nonlocal size
+            whole()
+            if len(own) > 1 and any(r["n"] == 1 for r in own):
+                full.extend(own)
+                size += sum(len(r["bytes"]) for r in own)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            found = list(zip(*work(full)))
+            found.extend(_spans_of(full, length) if full else ())
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(found, kinds)], schema=kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found), kinds)], schema=kinds)
 
         for batch in batches:
             for row in batch.to_pylist():
-                if (row["mark"], row["chunk"]) != mark:
-                    if own:
-                        full.append((mark, own))
-                        if size > SORT_BYTES:
-                            yield from flush()
-                            full, size = [], 0
-                    mark, own = (row["mark"], row["chunk"]), []
-                own.append(row)
-                size += len(row["bytes"])
-        if own:
-            full.append((mark, own))
-        if full:
-            yield from flush()
-
-    return units.repartition("mark", "chunk").sortWithinPartitions("mark", "chunk").mapInArrow(run, schema)
+                if same and (row["mark"], row["unit"]) == (same[0]["mark"], same[0]["unit"]):
+                    same.append(row)
+                    continue
+                if same and row["mark"] == same[0]["mark"]:
+                    whole()
+                elif same:
+                    close()
+                    own = []
+                    if size > SORT_BYTES or len(found) > 10_000:
+                        yield from flush()
+                        full, found, size = [], [], 0
+                same = [row]
+        if same:
+            close()
+        yield from flush()
+
+    return parts.repartition("mark").sortWithinPartitions("mark", "unit").mapInArrow(run, schema)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_units: int = MOST_UNITS) -> DataFrame:
     """_d, _n, _th, spans: for each text that has any, the merged spans (low, high) covered by repeated strings.
 
-    A mark that occurs once can't be in a repeated string. Where all of a mark's units are equal, they are repeated
-    whole, and so is any unit that occurs twice: large groups of copies end here, as counts. What is left are marks with
-    different surroundings: one copy of each unit meets the others of its mark in a suffix array. If there are more than
-    ``most_units``, they are sorted in chunks. Strings that are single in their chunk then meet those of the other
-    chunks: first the bytes that BLOCK neighbouring strings have in common, which equal strings share, and where these
-    are in two chunks the strings themselves, by hashes of 128 bits. So no mark is gathered in one task, no link between
-    chunks is lost, and few strings are dealt out one by one.
+    A mark that occurs once can't be in a repeated string. A unit that occurs twice is repeated whole: large groups of
+    copies end here, as counts. What is left are marks with different units: one copy of each is cut into parts that
+    share longer strings (see _parts), and the parts of one mark meet in a suffix array. Marks with over ``most_units``
+    parts aren't gathered: their equal parts are counted, and one of each is cut into parts with longer common strings
+    still, until these are of ``length`` bytes, when all that share a mark are equal. So no group is unbounded, and
+    each string is in one part of each round. Units and common strings are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
     every = saved(marks(docs, length, gram), "marks")
@@ -255,33 +231,43 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     release(every, often)
     del every, often
     drop_shuffles(spark)
-    place = F.struct(*KEY, "at")
+    place = F.struct(*KEY, "low", "more", "at")
     units = saved(shared.groupBy("mark", "unit", "differ").agg(F.count("*").alias("n"), F.min(place).alias("p")), "units")
-    whole = shared.join(units.where("n > 1").select("mark", "unit"), ["mark", "unit"]).select(*KEY, (F.col("at") - (length - gram)).alias("low"), (F.col("at") + length).alias("high"))
-    groups = units.where("differ").groupBy("mark").agg(F.count("*").alias("units"), F.min("n").alias("least")).where("least = 1").select("mark", "units")
-    needed = units.where("differ").join(groups, "mark").select("p.*", "mark", "n", F.ceil(F.col("units") / F.lit(most_units)).cast("int").alias("chunks"))
-    wanted = needed.groupBy(*KEY).agg(F.collect_list(F.struct("at", "mark", "n", "chunks")).alias("units"))
-    texts = keyed(docs).join(wanted, KEY)
-    cut = texts.select(*KEY, F.explode(F.transform("units", lambda u: _cut(u, length, gram))).alias("u")).select(*KEY, "u.*")
-    cut = cut.withColumn("chunk", F.pmod(F.xxhash64(*KEY, "begin"), F.col("chunks")).cast("int"))
-    found = saved(_sort_units(cut, length, gram), "found")
-    blocks = found.where("n > 0")
-    cores = saved(blocks.groupBy("one", "two").agg(F.min("chunk").alias("a"), F.max("chunk").alias("b")).where("a != b").select("one", "two"), "cores")
-    wanted = blocks.join(cores, ["one", "two"], "left_semi").select(*KEY, "low", "mask", "classes", "strings")
-    strings = saved(by_batch(wanted, _strings, "_d long, _n boolean, _th long, low long, one long, two long, n int"), "strings")
-    start = F.struct(*KEY, "low")
-    twice = saved(strings.groupBy("one", "two").agg(F.max("n").alias("most"), F.min(start).alias("a"), F.max(start).alias("b")).where("most > 1 or a != b").select("one", "two"), "twice")
-    across = strings.where("n = 1").join(twice, ["one", "two"], "left_semi").select(*KEY, "low", (F.col("low") + length).alias("high"))
-    runs = saved(whole.unionByName(found.where("n = 0").select(*KEY, "low", "high")).unionByName(across), "runs")
-    release(shared, units, found, cores, strings, twice)
+    whole = shared.join(units.where("n > 1").select("mark", "unit"), ["mark", "unit"]).select(*KEY, "low", (F.col("low") + F.col("more") + length).alias("high"))
+    once = units.where("differ").groupBy("mark").agg(F.min("n").alias("least")).where("least = 1").select("mark")
+    needed = units.where("differ").join(once, "mark").select("p.*", "n")
+    wanted = needed.groupBy(*KEY).agg(F.collect_list(F.struct("n", "low", "more", "at")).alias("units"))
+    cut = keyed(docs).join(wanted, KEY).select(*KEY, "text", F.explode("units").alias("u"))
+    own = F.substring("text", F.col("u.low") + 1, F.col("u.more") + length)
+    cut = cut.select(*KEY, "u.n", "u.low", "u.more", F.col("u.at").alias("a"), (F.col("u.at") + gram).alias("b"), own.alias("bytes"))
+    runs, done = [saved(whole, "whole")], []
+    while True:
+        parts = saved(by_batch(cut, lambda batch: _parts(batch, length), _PART), "parts")
+        done.append(parts)
+        large = saved(parts.groupBy("mark").agg(F.count("*").alias("parts")).where(F.col("parts") > most_units).select("mark"), "large")
+        done.append(large)
+        if not large.take(1):
+            runs.append(saved(_sorted_spans(parts, length), "spans"))
+            break
+        runs.append(saved(_sorted_spans(parts.join(large, "mark", "left_anti"), length), "spans"))
+        parts = saved(parts.join(large, "mark"), "parts")
+        done.append(parts)
+        rest = ("low", "more", "a", "b", "bytes")
+        counts = saved(parts.groupBy("mark", "unit").agg(F.sum("n").alias("all"), F.min(F.struct(*KEY, "low")).alias("p")), "counts")
+        done.append(counts)
+        equal = parts.where("n = 1").join(counts.where("all > 1").select("mark", "unit"), ["mark", "unit"])
+        runs.append(saved(equal.select(*KEY, "low", (F.col("low") + F.col("more") + length).alias("high")), "equal"))
+        if not parts.where(F.col("b") - F.col("a") < length).take(1):
+            break
+        one = counts.select("unit", "mark", "all", "p.*")
+        cut = parts.drop("n").join(one, [*KEY, "low", "mark", "unit"]).dropDuplicates([*KEY, "low", "mark", "unit"]).select(*KEY, F.col("all").alias("n"), *rest)
+    every = runs[0]
+    for more in runs[1:]:
+        every = every.unionByName(more)
+    found = saved(every.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("low", "high"))).alias("spans")), "found")
+    release(shared, units, *runs, *done)
     drop_shuffles(spark)
-    return runs.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("low", "high"))).alias("spans"))
-
-
-def _cut(u: F.Column, length: int, gram: int) -> F.Column:
-    begin = F.greatest(F.lit(0).cast("long"), u["at"] - (length - gram))
-    size = u["at"] + length - begin
-    return F.struct(u["mark"].alias("mark"), u["n"].alias("n"), u["chunks"].alias("chunks"), u["at"].alias("at"), begin.alias("begin"), F.substring(F.col("text"), (begin + 1).cast("int"), size.cast("int")).alias("bytes"))
+    return found
 
 
 def _kept(batch: pa.RecordBatch) -> dict:
@@ -312,26 +298,27 @@ def removal_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     each has it too. Columns other than doc_id and text are not looked at.
     """
     spans = repeated_spans(docs, length)
-    rows = keyed(docs).select(F.col("doc_id").cast("long").alias("doc_id"), *KEY, F.col("text").cast("binary").alias("text")).join(spans, KEY, "left")
-    return by_batch(rows.select("doc_id", "text", "spans"), _kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = keyed(docs).join(spans, KEY, "left").select(F.when(~F.col("_n"), F.col("_d")).alias("doc_id"), "text", "spans")
+    return by_batch(rows, _kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with the kept bytes as text; bytes that no longer form UTF-8 where a cut splits a character are replaced."""
-    spans = repeated_spans(docs, length)
+    spans, veil = repeated_spans(docs, length), Veil(docs)
+    own = veil.at("text")
 
     def work(batch: pa.RecordBatch) -> dict:
         texts = []
-        for text, own in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-            if text is not None and own:
+        for text, own_spans in zip(batch.column("_t").to_pylist(), batch.column("spans").to_pylist()):
+            if text is not None and own_spans:
                 parts, done = [], 0
-                for s in own:
+                for s in own_spans:
                     parts.append(text[done : max(done, s["low"], 0)])
                     done = max(done, s["high"])
                 text = b"".join([*parts, text[done:]])
             texts.append(None if text is None else text.decode("utf-8", "replace"))
-        return {k: batch.column(k) for k in batch.schema.names if k not in ("text", "spans")} | {"text": texts}
+        return {k: batch.column(k) for k in fields.names if k != own} | {own: texts}
 
-    rows = keyed(docs).join(spans, KEY, "left").drop(*KEY).withColumn("text", F.col("text").cast("binary"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return by_batch(rows, work, schema).select(*docs.columns)
+    fields = StructType([StructField(f.name, StringType()) if f.name == own else f for f in veil.fields()])
+    rows = veil.keyed().join(spans, KEY, "left").select(*[c for c in veil.own if c != own], F.col(own).cast("binary").alias("_t"), "spans")
+    return veil.back(by_batch(rows, work, fields))
