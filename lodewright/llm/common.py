@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructField, StructType
 
 #: Bytes of an Arrow batch that goes to a Python worker; a batch holds one row at least, however long.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 _own_dirs: dict[str, str] = {}
 
@@ -62,7 +64,12 @@ def release(*tables: DataFrame) -> None:
 
 
 def drop_shuffles(spark: SparkSession) -> None:
-    """Shuffle files stay on the executors' disks until the driver's JVM notices that their plan is gone."""
+    """Shuffle files stay on the executors' disks until the driver's JVM notices that their plan is gone.
+
+    What Python has let go of, the JVM learns within a second.
+    """
+    gc.collect()
+    time.sleep(1.2)
     spark.sparkContext._jvm.System.gc()
 
 

@@ -43,6 +43,11 @@ def within(x: np.ndarray, i: int, radius: int) -> np.ndarray:
     return np.bitwise_count(x) <= radius
 
 
+def any_ring(x: np.ndarray, i: int, radius: int) -> np.ndarray:
+    """ring() from any start, for buckets that don't agree in a segment."""
+    return np.logical_or.reduce([ring(x, start, radius) for start in range(SEGMENTS)])
+
+
 def close_pairs(group: np.ndarray, values: np.ndarray, seg: np.ndarray, radius: int, test: Callable = within) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of the pairs that pass in many small groups at once: row j against row j + d of the same group."""
     d, left = 1, np.arange(len(group))
