@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -20,6 +21,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 BATCH_BYTES = 2 << 20
 
 _own_dirs: dict[str, str] = {}
+_LIBC = ctypes.CDLL(None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -71,6 +73,8 @@ def drop_shuffles(spark: SparkSession) -> None:
     gc.collect()
     time.sleep(1.2)
     spark.sparkContext._jvm.System.gc()
+    if hasattr(_LIBC, "malloc_trim"):  # what the driver's Python has freed goes back to the system
+        _LIBC.malloc_trim(0)
 
 
 def small_batches(spark: SparkSession) -> None:

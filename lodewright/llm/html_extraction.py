@@ -5,11 +5,15 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructType
 
-from .common import by_batch
+from .common import Veil, by_batch
 from .html_layout import extract
 
 
+ADDED = ("title", "text", "n_lines")
+
+
 def visible_text(pages: DataFrame, html: str = "html") -> DataFrame:
     """pages without the column ``html``, with title, text (the visible text, laid out) and n_lines.
 
@@ -19,7 +23,11 @@ def visible_text(pages: DataFrame, html: str = "html") -> DataFrame:
     pages give an empty text; anything else is a page, however broken. Repeated rows are taken as they come. Columns of
     pages named like the added ones are replaced. Each page is one row's work: no shuffle.
     """
-    own = [f for f in pages.schema if f.name not in (html, "title", "text", "n_lines")]
+    veil = Veil(pages)
+    column = veil.at(html)
+    fields = veil.fields(html, *ADDED)
+    names = [f.name for f in fields if f.name != column]
+    fields = StructType([f for f in fields if f.name != column]).add("title", StringType()).add("text", StringType()).add("n_lines", LongType())
 
     def work(batch: pa.RecordBatch) -> dict:
         out = {"title": [], "text": [], "n_lines": []}
@@ -27,8 +35,7 @@ def visible_text(pages: DataFrame, html: str = "html") -> DataFrame:
             title, text = extract((raw or b"").decode("utf-8", "replace"))
             for k, v in zip(out, (title, text, text.count("\n") + 1 if text else 0)):
                 out[k].append(v)
-        return {f.name: batch.column(f.name) for f in own} | out
+        return {c: batch.column(c) for c in names} | out
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own), "title string, text string, n_lines long"])
-    cut = pages.select(*[F.col(f"`{f.name}`") for f in own], F.col(f"`{html}`").cast("binary").alias("_html"))
-    return by_batch(cut, work, schema)
+    rows = by_batch(veil.df.select(*names, F.col(column).cast("binary").alias("_html")), work, fields)
+    return rows.select(*[F.col(own).alias(name) for own, name in zip(veil.own, veil.names) if own in names], *ADDED)
