@@ -115,7 +115,7 @@ def _subsets() -> str:
         own = [x for i, x in enumerate(LANGS) if m >> i & 1]
         both = " intersect ".join(f"select k from keyed where lang = {_s(x)}" for x in own)
         parts.append(f"select {_s(','.join(own))} as datasets, (select count(*) from ({both})) as size")
-    return f"with keyed as (select distinct lang, substring(md5(text), 1, 2) as k from documents) select * from ({' union all '.join(parts)}) where size > 0"
+    return f"with keyed as (select distinct lang, md5(text) as k from documents) select * from ({' union all '.join(parts)}) where size > 0"
 
 
 _FIRST = "row_number() over (partition by md5(text) order by doc_id) > 1"

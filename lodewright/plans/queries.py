@@ -88,7 +88,7 @@ def overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def overlap_powerset(spark: SparkSession, d: str) -> DataFrame:
-    keyed = _docs(spark, d).select(F.col("lang").alias("dataset"), F.substring(F.md5("text"), 1, 2).alias("key"))
+    keyed = _docs(spark, d).select(F.col("lang").alias("dataset"), F.md5("text").alias("key"))
     return overlap.subset_sizes(keyed, LANGS)
 
 
