@@ -479,10 +479,10 @@ def scored(docs: DataFrame, model: Scorer) -> DataFrame:
     fields = veil.fields(*ADDED)
     names = list(fields.names)
     rows, text, texts_of = text_once(veil)
-    name = uuid.uuid4().hex
+    call = uuid.uuid4().hex
 
     def work(batch: pa.RecordBatch) -> dict:
-        out = _reader(name, lambda: held.value).read(texts_of(batch))
+        out = _reader(call, lambda: held.value).read(texts_of(batch))
         return {k: batch.column(k) for k in names} | out | {"keep": [x >= 0.5 for x in out["score"]]}
 
     for name, kind in zip(ADDED, (StringType(), DoubleType(), DoubleType(), BooleanType())):

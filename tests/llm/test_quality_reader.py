@@ -41,3 +41,14 @@ def test_whole_operator(spark):
         row = got[r.doc_id]
         assert (row.votes, row.text, row.source) == (Q.votes(r.text or ""), r.text, r.source)
         assert row.weak == model.labelling.posterior(row.votes) and row.score == pytest.approx(model.score(r.text or ""), abs=2e-6) and row.keep == (row.score >= 0.5)
+
+
+def test_models_of_other_tables_are_forgotten(spark):
+    """Workers that have scored one table score the next one by its own model."""
+    one = spark.createDataFrame([(i, f"word{i} the quick brown fox" if i % 3 else "!!! ### !!! @@@ !!! %%%") for i in range(64)], "doc_id long, text string").repartition(16)
+    assert Q.classify(one).count() == 64 and len(Q.classify(one).collect()) == 64
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(16)
+    model = Q.fit(docs)
+    for r in Q.scored(docs, model).collect():
+        if (r.text or "").strip():
+            assert r.score == pytest.approx(model.score(r.text), abs=2e-6)
