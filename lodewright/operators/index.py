@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -13,6 +14,8 @@ from ..functions.tokens import ngrams, term_line, terms
 
 #: Terms of the piece of a phrase that it is looked up by; the whole phrase is checked afterwards.
 ANCHOR = 5
+#: Pieces that are sought in the documents before rows are made of their n-grams; with more, all n-grams are joined.
+ANCHORS = 1000
 
 
 def _phrase(spark: SparkSession, phrases: list[str]) -> list[list[str]]:
@@ -28,7 +31,8 @@ def _near(tokens: pd.Series, phrase: pd.Series, slop: pd.Series) -> pd.Series:
 def near(tokens: list[str], phrase: list[str], slop: int) -> bool:
     """Whether the phrase's terms can be placed so that their shifts against the phrase span at most ``slop`` positions.
 
-    Two terms in order may have ``slop`` terms between them; a swap costs two. Each term takes a place of its own.
+    Two terms in order may have ``slop`` terms between them; a swap costs two. Each term takes a place of its own: a
+    matching of terms and places is grown by exchanges, as terms that are repeated compete for places.
     """
     if not phrase:
         return False
@@ -36,25 +40,41 @@ def near(tokens: list[str], phrase: list[str], slop: int) -> bool:
     for i, t in enumerate(tokens):
         if t in at:
             at[t].append(i)
-    lists = [[p - k for p in at[t]] for k, t in enumerate(phrase)]
-    if not all(lists):
+    if not all(len(at[t]) >= phrase.count(t) for t in at):
         return False
-    for start in sorted({s for own in lists for s in own}):  # the smallest shift of a match
-        used: set[int] = set()
-
-        def place(k: int) -> bool:
-            if k == len(lists):
+    for start in sorted({i - k for k, t in enumerate(phrase) for i in at[t]}):  # the smallest shift of a match
+        windows = []
+        for k, t in enumerate(phrase):
+            own = at[t]
+            windows.append(own[bisect_left(own, start + k) : bisect_right(own, start + slop + k)])
+            if not windows[-1]:
+                break
+        else:
+            taken: dict[int, int] = {}
+            if all(_place(k, windows, taken) for k in range(len(phrase))):
                 return True
-            for shift in lists[k]:
-                if start <= shift <= start + slop and shift + k not in used:
-                    used.add(shift + k)
-                    if place(k + 1):
-                        return True
-                    used.discard(shift + k)
-            return False
+    return False
+
 
-        if place(0):
-            return True
+def _place(first: int, windows: list[list[int]], taken: dict[int, int]) -> bool:
+    """Gives term ``first`` a place, moving terms that have one; ``taken`` (place -> term) grows by one if it can."""
+    came: dict[int, int] = {}  # place -> the term that asked for it
+    left = [first]
+    while left:
+        k = left.pop()
+        for i in windows[k]:
+            if i in came:
+                continue
+            came[i] = k
+            if i not in taken:
+                held = {term: place for place, term in taken.items()}
+                while True:  # every term on the way moves on to the place that it asked for
+                    k = came[i]
+                    taken[i] = k
+                    if k == first:
+                        return True
+                    i = held[k]
+            left.append(taken[i])
     return False
 
 
@@ -96,8 +116,7 @@ class CorpusIndex:
             split = F.split(F.trim(self._line()), " ")
             tests = [F.exists(split, whole_term(p)) for p in own]
         elif slop:
-            split = F.filter(F.split(self._line(), " "), lambda t: t != "")
-            tests = [_near(split, F.array(*map(F.lit, t)), F.lit(slop)) if t else F.lit(False) for t in _phrase(self.df.sparkSession, own)]
+            tests = [_near(self._candidate(t), F.array(*map(F.lit, t)), F.lit(slop)) if t else F.lit(False) for t in _phrase(self.df.sparkSession, own)]
         else:
             tests = [F.contains(self._line(), F.lit(f" {' '.join(t)} ")) if t else F.lit(False) for t in _phrase(self.df.sparkSession, own)]
         out = tests[0]
@@ -105,6 +124,17 @@ class CorpusIndex:
             out = out & t if all_phrases else out | t
         return F.coalesce(out, F.lit(False))
 
+    def _candidate(self, phrase: list[str]) -> Column:
+        """The terms of a text that has all terms of the phrase, else null: only such texts go to Python."""
+
+        def split(line: Column) -> Column:
+            there = F.lit(True)
+            for t in sorted(set(phrase)):
+                there = there & F.contains(line, F.lit(f" {t} "))
+            return F.when(there, F.filter(F.split(line, " "), lambda t: t != ""))
+
+        return F.get(F.transform(F.array(self._line()), split), F.lit(0))  # the line is a variable, made once
+
     def documents(self, phrases: str | list[str], all_phrases: bool = False, is_regexp: bool = False, slop: int = 0, subset_filter: dict | None = None) -> DataFrame:
         return self._filtered(subset_filter).where(self.predicate(phrases, all_phrases, is_regexp, slop))
 
@@ -140,15 +170,18 @@ class CorpusIndex:
         cut = cut.where(F.size("t") > 0).withColumn("n", F.least(F.size("t"), F.lit(ANCHOR)))
         cut = cut.select("probe", "part", F.concat(F.lit(" "), F.array_join("t", " "), F.lit(" ")).alias("phrase"), (F.size("t") > ANCHOR).alias("more"), "n", F.array_join(F.slice("t", F.lit(1), F.col("n")), " ").alias("anchor"))
         docs = self._filtered(subset_filter).where(F.col(self.text).isNotNull()).select(F.col(self.ids).alias("id"), self._line().alias("line"))
-        split = docs.select("id", F.filter(F.split("line", " "), lambda t: t != "").alias("t"))
+        split = docs.select("id", "line", F.filter(F.split("line", " "), lambda t: t != "").alias("t"))
         sizes = sorted(r["n"] for r in cut.select("n").distinct().collect())  # at most ANCHOR of them
-        found = None
-        for n in sizes:
-            grams = split.select("id", F.explode(F.array_distinct(ngrams("t", n))).alias("anchor"))
-            own = grams.join(cut.where(F.col("n") == n), "anchor").select("probe", "part", "phrase", "more", "id")
-            found = own if found is None else found.unionByName(own)
-        if found is None:
+        if not sizes:
             return docs.select(F.lit(None).cast("string").alias("probe"), F.lit(0).cast("long").alias("part"), "id").where(F.lit(False))
+        grams = F.array_distinct(F.concat(*[ngrams("t", n) for n in sizes]))
+        wanted = [r["anchor"] for r in cut.select("anchor").distinct().limit(ANCHORS + 1).collect()]
+        if len(wanted) <= ANCHORS:
+            # few enough to be told from all others before a row is made of each; the line comes along with the hits
+            grams = F.filter(grams, lambda g: g.isin(*wanted))
+            found = split.select("id", "line", F.explode(grams).alias("anchor")).join(cut, "anchor")
+            return found.where(~F.col("more") | F.contains("line", F.col("phrase"))).select("probe", "part", "id").distinct()
+        found = split.select("id", F.explode(grams).alias("anchor")).join(cut, "anchor").select("probe", "part", "phrase", "more", "id")
         sure = found.where(~F.col("more")).select("probe", "part", "id")
         check = found.where("more").join(docs, "id").where(F.contains("line", F.col("phrase"))).select("probe", "part", "id")
         return sure.unionByName(check).distinct()
@@ -172,7 +205,7 @@ class CorpusIndex:
         spark = self.df.sparkSession
         asked = spark.createDataFrame([(w.lower(),) for w in words], "term string").distinct()
         split = F.explode(F.filter(F.split(self._line(), " "), lambda t: t != ""))
-        seen = self.df.select(split.alias("term")).join(F.broadcast(asked), "term", "left_semi").groupBy("term").agg(F.count("*").alias("count"))
+        seen = self.df.select(split.alias("term")).join(asked, "term", "left_semi").groupBy("term").agg(F.count("*").alias("count"))
         return asked.join(seen, "term", "left").select("term", F.coalesce("count", F.lit(0)).alias("count"))
 
     def count_total_occurrences_of_unigrams(self, words: Iterable[str]) -> dict[str, int]:
@@ -182,8 +215,12 @@ class CorpusIndex:
         """The documents with these ids."""
         return self.df.where(F.col(self.ids).isin(*ids))
 
-    def random(self, n: int, seed: int | None = None) -> DataFrame:
-        """n documents drawn evenly without replacement."""
+    def random(self, n: int, seed: int | None = None, replacement: bool = False) -> DataFrame:
+        """n documents drawn evenly, without replacement unless asked for; with it, a document drawn twice comes twice."""
+        if replacement:
+            # independent counts of mean ``rate`` that come to n or more; any n of their draws are n even draws
+            total = self.df.count()
+            return (self.df.sample(True, (n + 6 * n**0.5 + 20) / total, seed) if total else self.df).withColumn("_r", F.rand(seed)).orderBy("_r").limit(n).drop("_r")
         return self.df.withColumn("_r", F.rand(seed)).orderBy("_r").limit(n).drop("_r")
 
 

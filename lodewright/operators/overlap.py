@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.scratch import written
+
 #: Data sets whose subsets are all reported at most: 2 to this power rows.
 MOST_DATASETS = 16
 
@@ -87,10 +89,22 @@ def top_duplicates(counted: DataFrame, k: int = 30) -> DataFrame:
 def examples(df: DataFrame, wanted: DataFrame, order: list[str], keep: list[str], text: str = "text") -> DataFrame:
     """(key, count, keep..., text): the first document of each wanted key, with the count that the key came with."""
     rows = df.where(F.col(text).isNotNull()).select(F.md5(text).alias("key"), F.struct(*order).alias("_o"), F.struct(*keep, text).alias("_d"))
-    first = rows.join(F.broadcast(wanted), "key", "left_semi").groupBy("key").agg(F.min_by("_d", "_o").alias("_d"))
+    first = rows.join(wanted, "key", "left_semi").groupBy("key").agg(F.min_by("_d", "_o").alias("_d"))
     return wanted.join(first, "key").select("key", "count", "_d.*").orderBy(F.desc("count"), F.desc("key"))
 
 
 def numbered_copies(df: DataFrame, order: list[str], text: str = "text") -> DataFrame:
-    """df with ``copy``, the number of a document among those with its text. For corpora without huge groups of copies."""
-    return df.withColumn("copy", F.row_number().over(Window.partitionBy(F.md5(text)).orderBy(*order)))
+    """df with ``copy``, the number of a document among those with its text, by ``order``.
+
+    Rows are dealt to partitions by ranges of text hash and order, and written once: a text with a great many copies
+    spreads over several, whose counts are added up.
+    """
+    ranged = df.withColumn("_k", F.md5(text)).repartitionByRange("_k", *order).withColumn("_part", F.spark_partition_id())
+    placed = written(ranged, "copies")
+    sizes = placed.groupBy("_k", "_part").agg(F.count("*").alias("_n"))
+    several = sizes.groupBy("_k").agg(F.count("*").alias("_parts")).where("_parts > 1").select("_k")
+    earlier = F.sum("_n").over(Window.partitionBy("_k").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    before = sizes.join(several, F.equal_null(sizes["_k"], several["_k"]), "left_semi").select("_k", "_part", F.coalesce(earlier, F.lit(0)).alias("_before"))
+    own = placed.withColumn("_at", F.row_number().over(Window.partitionBy("_k", "_part").orderBy(*order)))
+    out = own.join(before.withColumnRenamed("_part", "_p").withColumnRenamed("_k", "_key"), F.equal_null(F.col("_k"), F.col("_key")) & (F.col("_part") == F.col("_p")), "left")
+    return out.withColumn("copy", (F.col("_at") + F.coalesce("_before", F.lit(0))).cast("int")).select(*df.columns, "copy")

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from ..functions.tokens import unicode_tokens
 
@@ -47,10 +51,16 @@ def _quote(m: re.Match) -> str:
 
 
 def checked(pattern: str) -> str:
-    """The pattern, if it needs neither look-around nor back references."""
+    """The pattern, if it needs neither look-around nor back references and the engine that runs it can read it."""
     if _LOOK.search(pattern):
         raise ValueError(f"look-around and back references are not supported: {pattern!r}")
-    re.compile(pattern)
+    from pyspark import SparkContext
+
+    if SparkContext._active_spark_context is not None:
+        try:
+            SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(pattern)
+        except IllegalArgumentException as e:
+            raise ValueError(f"not a regular expression: {pattern!r}: {e}") from None
     return pattern
 
 
@@ -63,40 +73,43 @@ def count_patterns(df: DataFrame, patterns: Iterable[str], text: str = "text") -
     return totals.select(F.inline(F.array(*[F.struct(F.lit(p).alias("pattern"), F.col(f"c{i}").alias("count")) for i, p in enumerate(own)])))
 
 
+@F.pandas_udf(ArrayType(LongType()))
+def _starts(gaps: pd.Series, matches: pd.Series) -> pd.Series:
+    """Where each match starts, from the sizes of the pieces before the matches and of the matches."""
+    return pd.Series([np.cumsum(g) + np.cumsum(m) - m for g, m in zip(gaps, matches)], index=gaps.index)
+
+
 def locations(df: DataFrame, patterns: Iterable[str], keys: list[str], text: str = "text", limit: int | None = None) -> DataFrame:
     """pattern, the columns ``keys``, match, start, end: every match with its offsets in UTF-8 bytes, the end exclusive.
 
-    Spark has no function for the places of all matches, so texts that have any go to Python in Arrow batches.
-    ``limit`` keeps the first matches of each pattern by keys and start.
+    Matches, and the pieces between them, come from the engine that counts them; Python adds up their sizes alone, and
+    only for texts with a match. ``limit`` keeps the first matches of each pattern by keys and start.
     """
     own = [checked(p) for p in patterns]
-    hit = F.lit(False)
-    for p in own:
-        hit = hit | F.rlike(text, F.lit(p))
-    found = df.where(hit).select(*keys, F.col(text).alias("_text"))
-    schema = ", ".join(["pattern string", *(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema if f.name in keys), "match string, start long, end long"])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compiled = [(p, re.compile(p, re.ASCII)) for p in own]
-        for frame in frames:
-            rows = []
-            for values in frame.itertuples(index=False, name=None):
-                *key, t = values
-                for p, c in compiled:
-                    at = done = 0
-                    for m in c.finditer(t):
-                        at += len(t[done : m.start()].encode())
-                        size = len(m[0].encode())
-                        rows.append((p, *key, m[0], at, at + size))
-                        at, done = at + size, m.end()
-            yield pd.DataFrame(rows, columns=["pattern", *keys, "match", "start", "end"])
-
-    out = found.mapInPandas(run, schema)
-    if limit is None:
-        return out
-    from pyspark.sql.window import Window
-
-    return out.withColumn("_n", F.row_number().over(Window.partitionBy("pattern").orderBy(*keys, "start"))).where(F.col("_n") <= limit).drop("_n")
+    if not own:
+        raise ValueError("at least one pattern is needed")
+    if limit is not None:
+        firsts = [locations(df, [p], keys, text).orderBy(*keys, "start").limit(limit) for p in own]  # each task keeps no more
+        return reduce(DataFrame.unionByName, firsts)
+    hit = reduce(Column.__or__, [F.rlike(text, F.lit(p)) for p in own])
+    cut = df.where(hit).select(*keys, *[c for i, p in enumerate(own) for c in (F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias(f"_m{i}"), F.split(text, p, -1).alias(f"_g{i}"))])
+    each = []
+    for i, p in enumerate(own):
+        m, g = F.col(f"_m{i}"), F.col(f"_g{i}")
+        # split() gives no piece before an empty match at the start of a text
+        gaps = F.when(F.size(g) > F.size(m), g).otherwise(F.concat(F.array(F.lit("")), g))
+        starts = _starts(F.transform(F.slice(gaps, F.lit(1), F.size(m)), _bytes), F.transform(m, _bytes))
+        each.append(F.transform(F.arrays_zip(m.alias("m"), starts.alias("s")), _of(p)))
+    found = cut.select(*keys, F.explode(F.concat(*each)).alias("_x"))
+    return found.select(F.col("_x.p").alias("pattern"), *keys, F.col("_x.m").alias("match"), F.col("_x.s").alias("start"), (F.col("_x.s") + _bytes(F.col("_x.m"))).alias("end"))
+
+
+def _of(pattern: str) -> Callable[[Column], Column]:
+    return lambda x: F.struct(F.lit(pattern).alias("p"), x["m"].alias("m"), x["s"].alias("s"))
+
+
+def _bytes(x: Column) -> Column:
+    return F.octet_length(x).cast("long")
 
 
 def grouped_locations(found: DataFrame, path: str = "path", line: str = "line") -> DataFrame:

@@ -52,6 +52,14 @@ def _contains(column: str, *phrases: str) -> list[str]:
     return [f"contains({column}, {_s(f' {p} ')})" for p in phrases]
 
 
+def _locations() -> str:
+    found = " union all ".join(f"select {_s(p)} as pattern, doc_id, regexp_extract_all(text, {_s(p)}) as m, string_split_regex(text, {_s(p)}) as g from documents where text is not null" for p in PATTERNS[:2])
+    bytes_of = "coalesce(list_sum(list_transform({}, lambda x: strlen(x))), 0)"
+    return f"""with found as ({found}), each as (select *, unnest(range(1, len(m) + 1)) as i from found),
+placed as (select pattern, doc_id, m[i] as match, ({bytes_of.format('g[1:i]')} + {bytes_of.format('m[1:i-1]')})::bigint as start from each)
+select pattern, doc_id, match, start, start + strlen(match) as "end" from placed"""
+
+
 def _count_phrases() -> str:
     parts = []
     for p in PHRASES:
@@ -141,6 +149,7 @@ union all select 'text is None' from documents where text is null"""
         "count_phrases": _count_phrases(),
         "search_regex": _search_regex(),
         "corpus_stats": f"select coalesce(sum({tokens}), 0)::bigint as total_tokens, count(*) as total_documents, coalesce(sum(strlen(text)), 0)::bigint as total_bytes, max({tokens}) as document_max_tokens, min({tokens}) as document_min_tokens from documents",
+        "search_locations": _locations(),
         "stats_extreme_docs": f"with n as (select doc_id, {tokens} as tokens from documents where text is not null) select 'max' as kind, doc_id, tokens from n where tokens = (select max(tokens) from n) union all select 'min', doc_id, tokens from n where tokens = (select min(tokens) from n)",
         "scheme_counts": f"select lower(regexp_extract({_CLEAN}, '^({SCHEME}):', 1)) as scheme, count(*) as count from pages group by 1",
         "url_counts": f"select {_NETLOC} as url, count(*) as count from pages group by 1",

@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 def session(master: str | None = None, app: str = "lodewright", **conf: str) -> SparkSession:
     """Adaptive plans, Arrow transfer and UTC; ``master`` and any other setting are left to the cluster unless given.
 
-    Shuffle partitions start high and are coalesced at run time, so that one setting serves small and large inputs.
+    Shuffles start with 2000 partitions, which are coalesced at run time, so that one setting serves small and large inputs.
     """
     builder = SparkSession.builder.appName(app)
     if master:
@@ -16,6 +16,7 @@ def session(master: str | None = None, app: str = "lodewright", **conf: str) ->
     own = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "2000",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.session.timeZone": "UTC",

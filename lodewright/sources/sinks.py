@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from .scratch import written
+
 
 def write_json(df: DataFrame, path: str, force: bool = False, compression: str | None = None) -> None:
     """JSON lines at ``path``, which must not be there unless ``force``; then it is replaced as a whole."""
@@ -86,22 +89,41 @@ def in_batches(df: DataFrame, path: str, rows: int, force: bool = False) -> None
     df.write.mode("overwrite" if force else "errorifexists").option("compression", "gzip").option("maxRecordsPerFile", rows).json(path)
 
 
+def resumed_batches(df: DataFrame, path: str, rows: int, key: str = "id") -> int:
+    """Adds to ``path`` the rows of df whose ``key`` isn't there yet, as in_batches() writes them; the number of rows added.
+
+    A job that ended early leaves no half-written batch behind, so calling this again takes up where it stopped. Rows
+    without a key are taken in a first call only.
+    """
+    spark = df.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    new = df
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        there = spark.read.schema(StructType([df.schema[key]])).json(path).select(key).distinct()
+        new = df.where(F.col(key).isNotNull()).join(there, key, "left_anti")
+    seen = Observation()
+    new.observe(seen, F.count("*").alias("n")).write.mode("append").option("compression", "gzip").option("maxRecordsPerFile", rows).json(path)
+    return seen.get["n"]
+
+
 def in_chunks(df: DataFrame, chunks: int, order: str) -> DataFrame:
     """df with ``chunk`` from 0: equal runs of rows by ``order``, the last takes the remainder.
 
-    Ranks come from a sort by range and the row counts of its partitions, not from one global window.
+    The rows are dealt to partitions by range and written once with their partition and place; ranks come from that
+    table's counts by partition, not from one global window.
     """
-    rows, spark = df.count(), df.sparkSession
-    placed = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
-    sizes = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect()}
+    spark = df.sparkSession
+    ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
+    placed = written(ranged, "ranged")
+    sizes = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # a row a partition
     before, at = {}, 0
     for part in sorted(sizes):
         before[part] = at
         at += sizes[part]
     starts = spark.createDataFrame(list(before.items()) or [(0, 0)], "_part int, _before long")
     rank = F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy("_id")) - 1
-    size = max(1, rows // chunks)
-    return placed.join(F.broadcast(starts), "_part").withColumn("chunk", F.least(F.floor(rank / F.lit(size)), F.lit(chunks - 1)).cast("int")).drop("_part", "_id", "_before")
+    size = max(1, at // chunks)
+    return placed.join(starts, "_part").withColumn("chunk", F.least(F.floor(rank / F.lit(size)), F.lit(chunks - 1)).cast("int")).drop("_part", "_id", "_before")
 
 
 def compacted(df: DataFrame, files: int) -> DataFrame:

@@ -16,8 +16,22 @@ def arriving(spark: SparkSession, path: str, schema: StructType, glob: str = "*.
 
 
 def counting(stream: DataFrame, analysis: Callable[[DataFrame], DataFrame], name: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Runs a count analysis (schemes, locations, lengths, ...) on a stream; the table ``name`` holds the counts so far."""
-    writer = analysis(stream).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint)
+    """Runs a count analysis (schemes, locations, lengths, ...) on a stream; the view ``name`` holds the counts so far.
+
+    Every batch is written by the executors below ``checkpoint`` before the view moves on to it, and the one before
+    last goes, as readers may be in the middle of the last: no count passes through the driver.
+    """
+    spark = stream.sparkSession
+    counts = f"{checkpoint.rstrip('/')}-counts"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        path = f"{counts}/{number}"
+        batch.write.mode("overwrite").parquet(path)
+        spark.read.schema(batch.schema).parquet(path).createOrReplaceTempView(name)
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{counts}/{number - 2}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+
+    writer = analysis(stream).writeStream.outputMode("complete").foreachBatch(keep).queryName(name).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 

@@ -1,10 +1,12 @@
 """Column functions and analyses on small inputs."""
 
 import gzip
+import itertools
 import json
 import random
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from lodewright import cli
@@ -12,7 +14,7 @@ from lodewright.functions import tokens as T
 from lodewright.functions import urls as U
 from lodewright.functions import values as V
 from lodewright.operators import counts, index, ngrams, overlap, pii, profanity, prompts, sample, search, sentiment, stats
-from lodewright.sources import corpus, sinks
+from lodewright.sources import corpus, records, sinks
 
 
 def texts(spark, *rows):
@@ -142,6 +144,15 @@ def test_patterns_and_locations(spark):
         with pytest.raises(ValueError):
             search.count_patterns(df, [bad])
     assert search.checked(r"\\(?:a)")
+    with pytest.raises(ValueError):
+        search.checked("(a")
+
+
+def test_locations_are_those_of_a_plain_matcher(spark):
+    own = ["aé12 34", None, "56", "", "abéab", "\x00a\x1f1", "bb", "1"]
+    patterns = ["[0-9]+", "a*", "b|", r"\p{L}", "x*$"]
+    want = [(p, i, m[0], len(t[: m.start()].encode()), len(t[: m.end()].encode())) for i, t in enumerate(own) if t is not None for p in patterns for m in regex.finditer(p, t)]
+    assert sorted(map(tuple, search.locations(texts(spark, *own), patterns, ["doc_id"]).collect())) == sorted(want)
 
 
 def test_stats(spark):
@@ -251,6 +262,67 @@ def test_slop():
     assert not index.near(["a"], ["a", "a"], 5) and not index.near(["a"], [], 5)
 
 
+def test_slop_against_all_placings():
+    rng = random.Random(1)
+    for _ in range(3000):
+        tokens, phrase, slop = [rng.choice("abc") for _ in range(rng.randrange(9))], [rng.choice("abc") for _ in range(rng.randrange(1, 5))], rng.randrange(5)
+        placings = itertools.product(*[[i for i, t in enumerate(tokens) if t == p] for p in phrase])
+        want = any(len(set(c)) == len(c) and max(shifts := [i - k for k, i in enumerate(c)]) - min(shifts) <= slop for c in placings)
+        assert index.near(tokens, phrase, slop) == want
+    assert not index.near(["a"] * 39 + ["b"] * 60, ["a"] * 40, 60) and index.near(["a", "b"] * 40, ["a"] * 40, 40)
+
+
+def test_hits_with_few_and_many_anchors(spark, monkeypatch):
+    rng = random.Random(2)
+    own = [" ".join(rng.choice("abcd") for _ in range(rng.randrange(30))) for _ in range(60)] + [None, ""]
+    asked = [" ".join(rng.choice("abcd") for _ in range(rng.randrange(1, 8))) for _ in range(30)] + ["", "."]
+    probes = spark.createDataFrame(list(enumerate(asked)), "i long, text string")
+    found = index.CorpusIndex(texts(spark, *own), ids="doc_id")
+    want = sorted((i, d) for i, p in enumerate(asked) if p.strip(".") for d, t in enumerate(own) if t and f" {p} " in f" {t} ")
+    for most in (1000, 3):
+        monkeypatch.setattr(index, "ANCHORS", most)
+        assert sorted((r.probe, r.id) for r in found.hits(probes, "i").collect()) == want
+
+
+def test_copies_are_numbered_over_partitions(spark):
+    rng, seen, want = random.Random(3), {}, []
+    own = [rng.choice(["x", "x", "x", "y", None]) for _ in range(2000)]
+    for i, t in enumerate(own):
+        seen[t] = seen.get(t, 0) + 1
+        want.append((i, t, seen[t]))
+    assert sorted(map(tuple, overlap.numbered_copies(texts(spark, *own).select("doc_id", "text").repartition(4), ["doc_id"]).collect())) == want
+
+
+def test_tfrecords(spark, tmp_path):
+    def part(n: int, data: bytes) -> bytes:
+        size = len(data)
+        return bytes([n << 3 | 2]) + (bytes([size]) if size < 128 else bytes([size & 127 | 128, size >> 7])) + data
+
+    def example(**own: bytes) -> bytes:
+        return part(1, b"".join(part(1, part(1, k.encode()) + part(2, part(1, part(1, v)))) for k, v in own.items()))
+
+    def record(data: bytes) -> bytes:
+        return len(data).to_bytes(8, "little") + b"1234" + data + b"5678"
+
+    (tmp_path / "a.tfrecord").write_bytes(record(example(text="é".encode() * 90, url=b"u")) + record(example(url=b"v")))
+    (tmp_path / "b.tfrecord.gz").write_bytes(gzip.compress(record(example(text=b"t", other=b"o"))))
+    (tmp_path / "c.tfrecord").write_bytes(b"")
+    rows = sorted((r.url or "", r.text) for r in records.tfrecords(spark, str(tmp_path), ["text", "url"]).collect())
+    assert rows == [("", "t"), ("u", "é" * 90), ("v", None)]
+    with pytest.raises(ValueError):
+        list(records.framed(b"123"))
+    assert records.shard_names("s3a://b/d/", 2) == ["s3a://b/d/train-00000-of-00002.parquet", "s3a://b/d/train-00001-of-00002.parquet"]
+
+
+def test_batches_resume_and_draws_with_replacement(spark, tmp_path):
+    df = spark.range(10).selectExpr("id", "cast(id as string) as text")
+    out = str(tmp_path / "b")
+    assert sinks.resumed_batches(df.where("id < 4"), out, 3) == 4 and sinks.resumed_batches(df, out, 3) == 6 and sinks.resumed_batches(df, out, 3) == 0
+    assert sorted(r.id for r in spark.read.json(out).collect()) == list(range(10))
+    found = index.CorpusIndex(df)
+    assert found.random(50, 1, replacement=True).count() == 50 and index.CorpusIndex(df.limit(0)).random(5, 1, replacement=True).count() == 0
+
+
 def test_catalog(spark):
     spark.range(3).selectExpr("cast(id as string) as id", "'t' as text").createOrReplaceTempView("corpus_one")
     spark.range(2).selectExpr("cast(id as string) as id", "'u' as text").createOrReplaceTempView("corpus_two")
