@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small_batches
+from .common import release, saved, small_batches
 
 SCALE, K, EVERY = 64, 20, 20
 #: Bytes of a tile of queries, which is broadcast; more queries make more tiles, each a pass over the rows.
@@ -35,14 +36,14 @@ def _floor(c: F.Column) -> F.Column:
     return F.when(F.abs(c) < F.lit(2.0**52), F.floor(F.when(F.abs(c) < F.lit(2.0**52), c).otherwise(F.lit(0.0))).cast("double")).otherwise(c)
 
 
-def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(dimension, ids, matrix) for each dimension that occurs in the batch."""
-    ids, v = batch.column("vec_id").to_numpy(zero_copy_only=False), batch.column("v")
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(dimension, ids, row numbers, matrix) for each dimension that occurs in the batch."""
+    (ids, rows), v = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("vec_id", "row")), batch.column("v")
     sizes, flat = np.diff(np.asarray(v.offsets)), v.flatten().to_numpy(zero_copy_only=False)
     starts = np.cumsum(sizes) - sizes
     for d in np.unique(sizes):
         at = np.flatnonzero(sizes == d)
-        yield int(d), ids[at], flat[(starts[at][:, None] + np.arange(d)).ravel()].reshape(len(at), d)
+        yield int(d), ids[at], rows[at], flat[(starts[at][:, None] + np.arange(d)).ravel()].reshape(len(at), d)
 
 
 def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -67,70 +68,80 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k highest integer inner products among all other rows.
 
-    Both tables hold vec_id and v from quantised(). A row with the query's own vec_id is never its result. Ties go to
-    the smaller vec_id, and vectors of another length than the query's are not compared with it. Repeated rows each
-    count; a query whose vec_id is repeated is searched once, with its first vector in the order of components.
+    Both tables hold vec_id and v from quantised(), and may hold ``row``, a number of a row that tells those with one
+    vec_id apart: then each row is a query of its own, and only it is left out of its results. Without it, rows with
+    the query's vec_id are never its result, and a vec_id that is repeated is searched once, with its first vector in
+    the order of components. Ties go to the smaller vec_id, and vectors of another length than the query's are not
+    compared with it. Repeated candidates each count. Scores beyond the range of a long stay at its ends.
 
     The queries are taken in tiles of a fixed number of bytes, so that what is broadcast doesn't grow; every tile meets
     every shard of candidates in one matrix product, each task returns one list a query, and the lists of tasks merge
-    in steps of FAN_IN, so no task holds more than the lists of a query.
+    in steps of FAN_IN, so no task holds more than the lists of a query. A tile's lists and its broadcast go before the
+    next tile starts.
     """
     spark = candidates.sparkSession
     small_batches(spark)
-    asked = saved(queries.groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
-    candidates = saved(candidates, "candidates")
-    row = asked.agg(F.sum(F.size("v") * 8 + 16).alias("b")).first()
-    tiles = max(1, -(-int(row["b"] or 0) // tile_bytes))
-    parts = None
+    if "row" not in candidates.columns or "row" not in queries.columns:
+        queries = queries.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("row", F.col("vec_id"))
+        candidates = candidates.select("vec_id", F.col("vec_id").alias("row"), "v")
+    asked = saved(queries.select("vec_id", "row", "v"), "queries")
+    candidates = saved(candidates.select("vec_id", "row", "v"), "candidates")
+    size = asked.agg(F.sum(F.size("v") * 8 + 24)).first()[0]
+    tiles = max(1, -(-int(size or 0) // tile_bytes))
+    merged = []
     for t in range(tiles):
-        own = asked if tiles == 1 else asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(tiles)) == t)
-        blocks = {}
-        for d, ids, m in (x for b in own.toArrow().combine_chunks().to_batches() if b.num_rows for x in _rows(b)):
-            blocks.setdefault(d, []).append((ids, m))
-        block = spark.sparkContext.broadcast({d: (np.concatenate([i for i, _ in x]), np.concatenate([m for _, m in x])) for d, x in blocks.items()})
-        found = candidates.mapInArrow(_search(block, k), "query_id long, task int, ids array<long>, scores array<long>")
-        parts = found if parts is None else parts.unionByName(found)
-    return _merged(saved(parts, "lists"), k)
+        own = asked if tiles == 1 else asked.where(F.pmod(F.xxhash64("row"), F.lit(tiles)) == t)
+        blocks: dict[int, list] = {}
+        for d, *block in (x for b in own.toArrow().combine_chunks().to_batches() if b.num_rows for x in _rows(b)):
+            blocks.setdefault(d, []).append(block)
+        block = spark.sparkContext.broadcast({d: tuple(map(np.concatenate, zip(*x))) for d, x in blocks.items()})
+        lists = saved(candidates.mapInArrow(_search(block, k), "query_id long, row long, task int, ids array<long>, scores array<long>"), "lists")
+        merged.append(saved(_merged(lists, k), "top"))
+        release(lists)
+        block.destroy()
+    release(asked, candidates)
+    return reduce(DataFrame.unionByName, merged)
 
 
 def _search(block, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        best: dict[int, list] = {d: [(np.zeros(0, np.int64),) * 2] * len(ids) for d, (ids, _) in block.value.items()}
+        best: dict[int, list] = {d: [(np.zeros(0, np.int64),) * 2] * len(ids) for d, (ids, _, _) in block.value.items()}
         for batch in batches:
-            for d, ids, rows in _rows(batch) if batch.num_rows else ():
+            for d, ids, rows, vectors in _rows(batch) if batch.num_rows else ():
                 if d not in best:
                     continue
-                query_ids, q = block.value[d]
+                _, query_rows, q = block.value[d]
                 for at in range(0, len(q), 512):
-                    scores = products(q[at : at + 512], rows)
+                    scores = products(q[at : at + 512], vectors)
                     most = scores.max(axis=1, initial=-_LONG - 1)
                     for j, own in enumerate(scores, at):
                         if len(best[d][j][1]) == k and most[j - at] < best[d][j][1][-1]:
                             continue
-                        other = ids != query_ids[j]
+                        other = rows != query_rows[j]
                         near = _best(ids[other], own[other], k)
                         old = best[d][j]
                         best[d][j] = _best(np.concatenate([old[0], near[0]]), np.concatenate([old[1], near[1]]), k)
         task = TaskContext.get().partitionId()
         for d, lists in best.items():
-            ids = block.value[d][0]
+            ids, rows, _ = block.value[d]
             for at in range(0, len(lists), 4096):
                 own = lists[at : at + 4096]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 4096]), pa.array(np.full(len(own), task, np.int32)), pa.array([x[0] for x in own], pa.list_(pa.int64())), pa.array([x[1] for x in own], pa.list_(pa.int64()))], names=["query_id", "task", "ids", "scores"])
+                columns = [pa.array(ids[at : at + 4096]), pa.array(rows[at : at + 4096]), pa.array(np.full(len(own), task, np.int32)), *(pa.array([x[i] for x in own], pa.list_(pa.int64())) for i in (0, 1))]
+                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "row", "task", "ids", "scores"])
 
     return run
 
 
 def _merged(parts: DataFrame, k: int) -> DataFrame:
     one = F.arrays_zip("scores", "ids")
-    lists = parts.select("query_id", "task", F.transform(one, lambda x: F.struct(F.bitwise_not(x["scores"]).alias("down"), x["ids"].alias("vec_id"))).alias("top"))
+    lists = parts.select("query_id", "row", "task", F.transform(one, lambda x: F.struct(F.bitwise_not(x["scores"]).alias("down"), x["ids"].alias("vec_id"))).alias("top"))
     most = parts.agg(F.max("task")).first()[0]
     width = 1 + (most or 0)
     while True:
         width = -(-width // FAN_IN)
-        key = [F.col("query_id")] + ([F.floor(F.col("task") / FAN_IN).cast("int").alias("task")] if width > 1 else [F.lit(0).alias("task")])
+        key = [F.col("query_id"), F.col("row")] + ([F.floor(F.col("task") / FAN_IN).cast("int").alias("task")] if width > 1 else [F.lit(0).alias("task")])
         lists = lists.groupBy(*key).agg(F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k).alias("top"))
         if width <= 1:
             break
@@ -139,6 +150,8 @@ def _merged(parts: DataFrame, k: int) -> DataFrame:
 
 
 def search(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
-    """The rows whose vec_id is divisible by ``every`` as queries against all rows."""
-    v = quantised(vectors)
-    return top_k(v, v.where(F.col("vec_id") % every == 0), k)
+    """The rows whose vec_id is divisible by ``every`` as queries against all rows but themselves."""
+    v = saved(quantised(vectors).withColumn("row", F.monotonically_increasing_id()), "vectors")  # numbers stay once written
+    out = top_k(v, v.where(F.col("vec_id") % every == 0), k)
+    release(v)
+    return out

@@ -213,6 +213,24 @@ def test_topk_edges(spark):
     assert topk_search.search(df.limit(0)).count() == 0
 
 
+def test_topk_rows_of_one_id(spark):
+    """Every row with a query's id is a query, and only that row is left out of its own results."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    rows = [(i % 30, [rng.randrange(-3, 3) / 64 for _ in range(3)]) for i in range(90)]
+    v = [(i, [round(64 * x) for x in e]) for i, e in rows]
+    want = []
+    for n, (i, q) in enumerate(v):
+        if i % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, c)), j) for m, (j, c) in enumerate(v) if m != n)[:20]
+            want += [(i, r, j, -s) for r, (s, j) in enumerate(best, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk_search.search(df).collect())) == sorted(want)
+    v = topk_search.quantised(df).repartition(1).withColumn("row", F.monotonically_increasing_id())
+    assert topk_search.top_k(v, v.where("vec_id % 20 = 0"), tile_bytes=100).count() == len(want)
+
+
 def test_targets():
     assert source_mixing.targets([]) == []
     got = source_mixing.targets([100, 100, 100])
