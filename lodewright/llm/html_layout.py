@@ -10,7 +10,10 @@ from collections import Counter
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style xmp iframe noembed noframes textarea title noscript".split())
 DECODED = {"textarea", "title"}
-HIDDEN = set("head script style title meta link base template noscript noembed noframes iframe datalist audio video canvas object svg math area param source track rp".split())
+HIDDEN = set("head script style title meta link base template noscript noembed noframes iframe datalist audio video canvas object area param source track rp".split())
+#: Parts of drawings and formulas that aren't shown, and those of drawings whose text is.
+UNDRAWN = set("defs symbol clippath mask pattern marker desc metadata title style script".split())
+DRAWN, UNREAD = {"text", "foreignobject"}, {"annotation", "annotation-xml"}
 BLOCK = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend "
     "li listing main menu nav ol optgroup p plaintext pre search section summary table caption colgroup tbody tfoot thead tr td th ul xmp".split()
@@ -102,21 +105,30 @@ def tokens(text: str):
             return
 
 
-def hidden_selectors(sheets: list[str]) -> set[str]:
-    """Simple selectors (tag, .class, #id, tag.class) that a style sheet hides; rules inside at-rules don't count."""
-    out: set[str] = set()
+def hidden_selectors(sheets: list[str]) -> dict[str, tuple[bool, str | None]]:
+    """What styled() says of the simple selectors (tag, .class, #id, tag.class) of style sheets; rules inside at-rules don't count."""
+    out: dict[str, tuple[bool, str | None]] = {}
     for sheet in sheets:
         plain = _COMMENT.sub("", sheet)
         plain = re.sub(r"@[^{};]*\{(?:[^{}]*\{[^{}]*\})*[^{}]*\}", "", plain)
         for selectors, body in _RULE.findall(plain):
-            if hides(body):
-                out.update(s.strip() for s in selectors.split(",") if _SIMPLE.fullmatch(s.strip()))
+            gone, seen = styled(body)
+            if gone or seen:
+                for own in (s.strip() for s in selectors.split(",")):
+                    if _SIMPLE.fullmatch(own):
+                        old = out.get(own, (False, None))
+                        out[own] = gone or old[0], seen or old[1]
     return out
 
 
-def hides(style: str) -> bool:
-    plain = re.sub(r"\s|!important", "", style.lower())
-    return any(d in ("display:none", "visibility:hidden", "visibility:collapse") for d in plain.split(";"))
+def styled(style: str) -> tuple[bool, str | None]:
+    """Whether a style takes an element away with all that is inside, and its visibility, which what is inside may overrule."""
+    gone, seen = False, None
+    for d in re.sub(r"\s|!important", "", style.lower()).split(";"):
+        gone |= d == "display:none"
+        if d in ("visibility:hidden", "visibility:collapse", "visibility:visible"):
+            seen = d[11:]
+    return gone, seen
 
 
 class Tree:
@@ -320,21 +332,58 @@ def ordinal(n: int, kind: str) -> str:
 
 
 class Layout:
-    def __init__(self, selectors: set[str]):
+    def __init__(self, selectors: dict[str, tuple[bool, str | None]]):
         self.selectors = selectors
 
-    def hidden(self, node: Node) -> bool:
+    def style(self, node: Node) -> tuple[bool, str | None]:
+        """styled() of a node by the rules for its tag, class and id and by its own style, the later ones before the earlier."""
         a = node.attrs
-        if node.name in HIDDEN or "hidden" in a or (node.name == "dialog" and "open" not in a) or ("style" in a and hides(a["style"])):
-            return True
-        if not self.selectors:
-            return False
-        keys = [node.name]
-        for c in a.get("class", "").split():
-            keys += [f".{c}", f"{node.name}.{c}"]
-        if "id" in a:
-            keys += [f"#{a['id']}", f"{node.name}#{a['id']}"]
-        return any(k in self.selectors for k in keys)
+        gone, seen = False, None
+        if self.selectors:
+            keys = [node.name]
+            for c in a.get("class", "").split():
+                keys += [f".{c}", f"{node.name}.{c}"]
+            if "id" in a:
+                keys += [f"#{a['id']}", f"{node.name}#{a['id']}"]
+            for k in keys:
+                if k in self.selectors:
+                    gone, seen = gone or self.selectors[k][0], self.selectors[k][1] or seen
+        if "style" in a:
+            own = styled(a["style"])
+            gone, seen = gone or own[0], own[1] or seen
+        return gone, seen
+
+    def hidden(self, node: Node) -> bool:
+        return node.name in HIDDEN or "hidden" in node.attrs or (node.name == "dialog" and "open" not in node.attrs) or self.style(node)[0]
+
+    def unveil(self, root: Node) -> None:
+        """Takes out text whose visibility is hidden. Elements left empty by it go, but for cells, which keep their columns."""
+        order: list[tuple[Node, bool]] = []
+        left = [(root, True)]
+        while left:
+            node, seen = left.pop()
+            own = self.style(node)[1]
+            seen = seen if own is None else own == "visible"
+            order.append((node, seen))
+            left += [(x, seen) for x in (*node.children, *node.before) if isinstance(x, Node)]
+        gone: set[int] = set()
+        for node, seen in reversed(order):
+            node.children, node.before = ([x for x in own if (id(x) not in gone if isinstance(x, Node) else seen)] for own in (node.children, node.before))
+            if not seen and not node.children and not node.before and node.name not in ("td", "th", "tr"):
+                gone.add(id(node))
+
+    def _drawn(self, svg: Node) -> list:
+        """The shown texts of a drawing, with spaces round them; shapes and their groups have none of their own."""
+        out: list = []
+        left = list(reversed(svg.children))
+        while left:
+            x = left.pop()
+            if isinstance(x, Node) and x.name not in UNDRAWN and not self.hidden(x):
+                if x.name in DRAWN:
+                    out += [" ", x, " "]
+                else:
+                    left += reversed(x.children)
+        return out
 
     def render(self, nodes: list, page: Page) -> None:
         """Walks the tree with a stack of its own: (node, entered) and functions to call on the way out."""
@@ -376,6 +425,14 @@ class Layout:
                 self.table(item, page)
             elif name in ("ul", "ol", "menu", "dir"):
                 self.list(item, page, stack, pre)
+            elif name == "svg":
+                stack += [(x, pre) for x in reversed(self._drawn(item))]
+            elif name in UNREAD:
+                continue
+            elif name == "details" and "open" not in item.attrs:
+                page.block()
+                stack.append((page.block, pre))
+                stack += [(x, pre) for x in [x for x in item.children if isinstance(x, Node) and x.name == "summary"][:1]]
             elif name == "q":
                 stack += [("”", pre), *((x, pre) for x in reversed(item.children)), ("“", pre)]
             else:
@@ -551,5 +608,7 @@ def extract(text: str | None) -> tuple[str | None, str]:
     tree = Tree().build(text or "")
     layout, page = Layout(hidden_selectors(tree.sheets)), Page()
     if not layout.hidden(tree.root):
+        if "visibility" in (text or "").lower():
+            layout.unveil(tree.root)
         layout.render(tree.root.children, page)
     return title_of(tree.root), "\n".join(page.result())

@@ -77,3 +77,29 @@ def test_frame(spark):
     got = html_extraction.visible_text(df).collect()
     assert sorted((r.page_id or 0, r.text[:4], r.n_lines, r.other) for r in got) == [(0, "", 0, 1), (1, "a\n\nb", 3, 1), (1, "a\n\nb", 3, 1), (2, "", 0, 1), (3, "x x ", 1, 1)]
     assert html_extraction.visible_text(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("page,want", [
+    ("a<svg><title>t</title><defs><text>no</text></defs><g>no<text>see<tspan>n</tspan></text></g></svg>b", "a seen b"),
+    ("<svg><foreignObject><p>x</p></foreignObject><text style='display:none'>no</text></svg>", "x"),
+    ("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>", "x=1"),
+    ("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b><i>no</i></div>z", "yes\nz"),
+    ("<style>.v{visibility:hidden}#w{visibility:visible}</style><p class=v>no<span id=w>yes<i class=v>no</i></span></p>", "yes"),
+    ("<style>p{visibility:hidden}</style><p>no</p><p style='visibility:visible'>yes</p>", "yes"),
+    ("<details><summary>s</summary>no<summary>no</summary></details>z", "s\nz"),
+    ("<details>no</details>z", "z"),
+    ("<details open><summary>s</summary><p>in</p></details>z", "s\n\nin\n\nz"),
+])
+def test_drawings_visibility_and_details(page, want):
+    assert extract(page)[1] == want
+
+
+def test_hidden_cells_keep_their_columns():
+    page = "<table><tr><td>a</td><td style='visibility:hidden'>no</td><td>c</td></tr><tr><td>d</td><td>e</td><td>f</td></tr></table>"
+    first, second = extract(page)[1].split("\n")
+    assert "no" not in first and first.index("c") == second.index("f")
+
+
+def test_deep_hidden_tree():
+    deep = "<div style='visibility:hidden'>" + "<div>no" * 400 + "<b style='visibility:visible'>yes</b>"
+    assert extract(deep)[1] == "yes"
