@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_LETTERS = r"[\p{L}\p{M}&&[^\p{IsHan}\p{IsHiragana}]]++"
-_WORD = rf"(?:{_LETTERS}(?:[.'’:·]{_LETTERS})*+|\p{{N}}++(?:[.'’,;]\p{{N}}++)*+|_++)++|[\p{{IsHan}}\p{{IsHiragana}}]"
+#: Scripts are looked up from U+2E80 on: below it there is neither Han nor Hiragana, and the look-up is slow.
+_LETTERS = r"[a-zA-Z[\p{L}\p{M}&&[^\x{2E80}-\x{10FFFF}]][\p{L}\p{M}&&[\x{2E80}-\x{10FFFF}]&&[^\p{IsHan}\p{IsHiragana}]]]++"
+_ONE = r"[\x{2E80}-\x{10FFFF}&&[\p{IsHan}\p{IsHiragana}]]"
+#: Plain words, which the rest would match as well, only slower.
+_PLAIN = r"[a-zA-Z]++(?=[ \n]|[,.!?;]\s)"
+_WORD = rf"{_PLAIN}|(?:{_LETTERS}(?:[.'’:·]{_LETTERS})*+|\p{{N}}++(?:[.'’,;]\p{{N}}++)*+|_++)++|{_ONE}"
 
 #: Unicode default word boundaries without white space. Quantifiers are possessive: a long token that alternates letters
 #: and digits would otherwise end the JVM with a stack overflow.
@@ -22,7 +27,7 @@ WORDPUNCT = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 #: White space that is a segment of its own and not a single space.
 OTHER_SPACE = r"\r\n|[\t\n\x0B\f\r\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 #: From here on n-grams are cut by a lambda: so many shifted copies of the tokens would make a huge plan.
-_MOST_SHIFTS = 12
+MOST_SHIFTS = 12
 
 
 def col(x: str | Column) -> Column:
@@ -76,7 +81,7 @@ def ngrams(tokens: str | Column, n: int, separator: str = " ") -> Column:
     if n == 1:
         return t
     count = F.greatest(F.size(t) - F.lit(n - 1), F.lit(0))
-    if n <= _MOST_SHIFTS:
+    if n <= MOST_SHIFTS:
         # copies shifted by 0..n-1 side by side: stays in generated code, which a lambda with slices doesn't
         shifted = F.arrays_zip(*[F.slice(t, F.lit(i + 1), count) for i in range(n)])
         return F.transform(shifted, lambda s: F.concat_ws(separator, *[s.getField(f"{i}") for i in range(n)]))
@@ -88,7 +93,7 @@ def exploded_ngrams(df, tokens: str | Column, n: int, *keep: str, separator: str
     t = col(tokens)
     if n == 1:
         return df.select(*keep, F.explode(t).alias("ngram"))
-    if n > _MOST_SHIFTS:
+    if n > MOST_SHIFTS:
         return df.select(*keep, F.explode(ngrams(t, n, separator)).alias("ngram"))
     slim = df.select(*keep, t.alias("_tokens")).withColumn("_count", F.greatest(F.size("_tokens") - F.lit(n - 1), F.lit(0)))
     shifted = F.arrays_zip(*[F.slice("_tokens", F.lit(i + 1), F.col("_count")) for i in range(n)])
@@ -96,6 +101,36 @@ def exploded_ngrams(df, tokens: str | Column, n: int, *keep: str, separator: str
     return rows.select(*keep, F.concat_ws(separator, *[F.col(f"_s.{i}") for i in range(n)]).alias("ngram"))
 
 
+@dataclass
+class Pieces:
+    """Rows of n-grams: the columns of ``df`` that hold their tokens, null where a document has no more; one column, joined, for large n."""
+
+    df: DataFrame
+    pieces: list[Column]
+    separator: str
+
+    def joined(self) -> Column:
+        return F.concat_ws(self.separator, *self.pieces) if len(self.pieces) > 1 else self.pieces[0]
+
+
+def ngram_pieces(df: DataFrame, tokens: str | Column, n: int, *keep: str, separator: str = " ", whole: bool = False) -> Pieces:
+    """A row for each token of each row of df, with the n - 1 that follow it: the columns ``keep``, and pieces.
+
+    With ``whole`` (or large n) only those that have so many.
+    """
+    if n < 1:
+        raise ValueError("n must be 1 or more")
+    t = col(tokens)
+    if n == 1:
+        return Pieces(df.select(*keep, F.explode(t).alias("_s")), [F.col("_s")], separator)
+    if n > MOST_SHIFTS:
+        return Pieces(df.select(*keep, F.explode(ngrams(t, n, separator)).alias("_s")), [F.col("_s")] * n, separator)
+    slim = df.select(*keep, t.alias("_tokens")).withColumn("_count", F.greatest(F.size("_tokens") - F.lit(n - 1), F.lit(0)))
+    size = [F.col("_count") if whole else F.greatest(F.size("_tokens") - F.lit(i), F.lit(0)) for i in range(n)]
+    shifted = F.arrays_zip(*[F.slice("_tokens", F.lit(i + 1), size[i]) for i in range(n)])
+    return Pieces(slim.select(*keep, F.explode(shifted).alias("_s")), [F.col(f"_s.{i}") for i in range(n)], separator)
+
+
 _registry: dict[str, Callable[[str | Column], Column]] = {"unicode": unicode_tokens}
 
 

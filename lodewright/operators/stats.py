@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tokens import unicode_count
+from ..sources.scratch import written
 
 
 def _sized(df: DataFrame, keys: list[str], text: str, raw: str | None, count: Callable[[str], Column]) -> DataFrame:
@@ -33,7 +34,8 @@ def summary(df: DataFrame, text: str = "text", raw: str | None = None, count: Ca
 
 def extremes(df: DataFrame, keys: list[str], text: str = "text", count: Callable[[str], Column] = unicode_count) -> DataFrame:
     """kind (max or min), the columns ``keys``, tokens: all documents with the most and all with the fewest tokens."""
-    sized = _sized(df, keys, text, None, count).where("_tokens is not null")
+    # counted once: a plan without the table would count in both sides of the join, and again in each side's filter
+    sized = written(_sized(df.where(F.col(text).isNotNull()), keys, text, None, count).select(*keys, "_tokens"), "sizes").where("_tokens is not null")
     ends = sized.agg(F.max("_tokens").alias("_max"), F.min("_tokens").alias("_min"))
     ends = ends.select(F.inline(F.array(F.struct(F.lit("max").alias("kind"), F.col("_max").alias("_tokens")), F.struct(F.lit("min").alias("kind"), F.col("_min").alias("_tokens")))))
     return sized.join(F.broadcast(ends), "_tokens").select("kind", *keys, F.col("_tokens").alias("tokens"))

@@ -46,11 +46,7 @@ def _grams(function: Callable, **how) -> Query:
 
 
 def unique_ngrams(spark: SparkSession, d: str) -> DataFrame:
-    out = None
-    for n in (1, 2, 3):
-        own = ngrams.unique(_docs(spark, d), n).select(F.lit(n).alias("n"), "unique_count")
-        out = own if out is None else out.unionByName(own)
-    return out
+    return ngrams.unique_each(_docs(spark, d), (1, 2, 3))
 
 
 def search_locations(spark: SparkSession, d: str) -> DataFrame:
